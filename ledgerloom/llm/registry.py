@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import exact_dedup
+from ledgerloom.llm import exact_dedup, pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op8_sentencepiece": pieces.op8_sentencepiece,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
