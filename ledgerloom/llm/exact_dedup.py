@@ -39,6 +39,7 @@ FOLD_BYTES = 48 << 20
 TABLE_BYTES = 96 << 20
 LEVELS = 4
 FAN = 64
+BROADCAST_BUCKETS = 100_000
 
 _HASHES = [f"h{i}" for i in range(LEVELS)]
 _FOLDED = "row_key long, id long, group_key long, sha string, n_bytes long, n long, " + ", ".join(f"{h} long" for h in _HASHES)
@@ -157,25 +158,34 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from emit()
 
 
-def _buckets(heads: DataFrame, table_bytes: int) -> DataFrame:
-    """The final bucket of every content hash: oversized buckets are dealt again, level by level."""
-    size = "n_bytes + 200"
-    first = heads.groupBy(*_HASHES).agg(F.max(F.expr(size)).alias("bytes"))  # one of equal contents counts
-    first = cut(first)
-    total = first.agg(F.sum("bytes")).first()[0] or 0
-    n = max(1, -(-2 * total // table_bytes))
-    open_ = first.withColumn("bucket", F.pmod(F.col("h0"), F.lit(n)).cast("string"))
-    done = None
+def _levels(heads: DataFrame, table_bytes: int) -> tuple[int, list[DataFrame]]:
+    """Number of first buckets, and for each further level the buckets dealt again."""
+    open_ = cut(heads.groupBy(*_HASHES).agg(F.max(F.col("n_bytes") + 200).alias("bytes")))  # one of equal contents counts
+    n = max(1, -(-2 * (open_.agg(F.sum("bytes")).first()[0] or 0) // table_bytes))
+    open_ = open_.withColumn("bucket", F.pmod(F.col("h0"), F.lit(n)).cast("string"))
+    over: list[DataFrame] = []
     for level in range(1, LEVELS):
-        full = open_.groupBy("bucket").agg(F.sum("bytes").alias("full"), F.count(F.lit(1)).alias("texts")).where((F.col("full") > table_bytes) & (F.col("texts") > 1))
+        sizes = open_.groupBy("bucket").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("texts"))
+        full = cut(sizes.where((F.col("bytes") > table_bytes) & (F.col("texts") > 1)).select("bucket", F.lit(True).alias("over")))
         if full.isEmpty():
             break
-        marked = cut(open_.join(full.select("bucket", F.lit(True).alias("over")), "bucket", "left"))
-        fits = marked.where("over is null").drop("over")
-        done = fits if done is None else done.unionByName(fits)
-        again = F.concat_ws(".", "bucket", F.pmod(F.col(f"h{level}"), F.lit(FAN)))
-        open_ = marked.where("over").drop("over").withColumn("bucket", again)
-    return (open_ if done is None else done.unionByName(open_)).drop("bytes")
+        over.append(full)
+        open_ = _split(open_.join(full, "bucket"), level)
+    return n, over
+
+
+def _split(rows: DataFrame, level: int) -> DataFrame:
+    again = F.concat_ws(".", "bucket", F.pmod(F.col(f"h{level}"), F.lit(FAN)))
+    return rows.withColumn("bucket", F.when(F.col("over"), again).otherwise(F.col("bucket"))).drop("over")
+
+
+def _deal(rows: DataFrame, n: int, over: list[DataFrame]) -> DataFrame:
+    """``rows`` with their final bucket. Lists of full buckets are broadcast up to BROADCAST_BUCKETS."""
+    rows = rows.withColumn("bucket", F.pmod(F.col("h0"), F.lit(n)).cast("string"))
+    for level, full in enumerate(over, 1):
+        small = full.count() <= BROADCAST_BUCKETS
+        rows = _split(rows.join(F.broadcast(full) if small else full, "bucket", "left"), level)
+    return rows
 
 
 def _run(docs: DataFrame, id_col: str, text_col: str, carried: bool, fold_bytes: int, table_bytes: int, finish) -> DataFrame:
@@ -190,8 +200,8 @@ def _run(docs: DataFrame, id_col: str, text_col: str, carried: bool, fold_bytes:
     spilled = spark.read.schema(schema).parquet(path)
     heads = spilled.where("n is not null")
     text = F.col("body")[text_col] if carried else F.col("body")
-    buckets = _buckets(heads.select("n_bytes", *_HASHES), table_bytes)
-    dealt = heads.select("group_key", "id", "n", text.cast("binary").alias("content"), *_HASHES).join(buckets, _HASHES)
+    n, over = _levels(heads.select("n_bytes", *_HASHES), table_bytes)
+    dealt = _deal(heads.select("group_key", "id", "n", text.cast("binary").alias("content"), *_HASHES), n, over)
     dealt = dealt.select("bucket", "group_key", "id", "n", "content")
     dealt = dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket")
     found = dealt.mapInArrow(_build, "group_key long, keep_id long, keep_row long, group_size long")
