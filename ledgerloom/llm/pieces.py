@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,8 +33,8 @@ from ledgerloom.llm.common import table
 
 MARK = "▁"
 _MARK = MARK.encode()
-#: Units kept in a task's table before it is begun anew.
-TABLE_UNITS = 200_000
+#: Units kept in a task's table, whose older half goes when it is full; about 300 bytes each.
+TABLE_UNITS = 800_000
 
 # Fixed values of the serialised model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
@@ -106,9 +107,9 @@ class CharMap:
 
 
 class Encoding(NamedTuple):
-    ids: list[int]
-    begins: list[int]
-    ends: list[int]
+    ids: np.ndarray
+    begins: np.ndarray
+    ends: np.ndarray
 
 
 class Encoder:
@@ -145,7 +146,13 @@ class Encoder:
             raise ValueError("a model that keeps spaces is not supported")
         self.bytes_at = {i: int(p[3:5], 16) for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.is_byte = [k == BYTE for k in self.kinds]
+        plain = {UNKNOWN: " ⁇ ".encode(), CONTROL: b""}
+        self.surfaces = [plain.get(k, p.replace(_MARK, b" ")) if k != BYTE else bytes([self.bytes_at[i]]) for i, (p, k) in enumerate(zip(self.pieces, self.kinds))]
+        #: Bytes of each piece: normalised in the upper half, of a source without marks in the lower.
+        self.sizes = [len(p) << 16 | len(p) - 2 * p.count(_MARK) for p in self.pieces]
         self.known: dict[str, tuple[bytes, bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, bytes, str]] = {}
         self.table_units = table_units
         self.trivial = not self.map.units and self.prefix and not self.squeeze
         self.unit = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
@@ -161,8 +168,7 @@ class Encoder:
             hit = self.map.longest(text, at)
             if hit:
                 return hit
-            first = text[at]
-            size = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+            size = _width(text[at])
             return size, text[at : at + size]
 
         if self.squeeze:
@@ -197,37 +203,48 @@ class Encoder:
     # -- units
 
     def _learn(self, units: set[str]) -> None:
-        if len(self.known) + len(units) > self.table_units:
-            self.known.clear()
-        todo = sorted(units)
+        """Take units into the table: from its older half, or by merging."""
+        if len(self.known) > self.table_units // 2:
+            self.old, self.known = self.known, {}
+        held, known, sizes, is_byte = self.old, self.known, self.sizes, self.is_byte
+        todo = []
+        for unit in units:
+            if unit in held:
+                known[unit] = held[unit]
+            else:
+                todo.append(unit)
         for unit, ids in zip(todo, self.library.encode([u[1:] if self.prefix else u for u in todo], num_threads=1)):
             if unit == MARK:  # the library gives an empty text no mark
                 ids = [self.mark]
-            lens, run = [], 0
-            left = unit.encode()
-            for i in ids:
-                if i not in self.bytes_at:
-                    size = len(self.pieces[i])
-                elif run:  # the bytes of a character but the last stand for nothing of their own
-                    run -= 1
-                    size = 0 if run else width
-                else:
-                    width = 1 if left[0] < 0x80 else 2 if left[0] < 0xE0 else 3 if left[0] < 0xF0 else 4
-                    run = width - 1
-                    size = 0 if run else 1
-                left = left[size:]
-                lens.append(size)
-            self.known[unit] = (np.array(ids, np.int32).tobytes(), np.array(lens, np.int32).tobytes(), ",".join(map(str, ids)))
+            lens = self._bytewise(unit.encode(), ids) if True in [is_byte[i] for i in ids] else [sizes[i] for i in ids]
+            known[unit] = (array("i", ids).tobytes(), array("i", lens).tobytes(), ",".join(map(str, ids)))
+
+    def _bytewise(self, left: bytes, ids: list[int]) -> list[int]:
+        """Sizes of pieces; of the bytes of a character, the last stands for all of it."""
+        lens, run = [], 0
+        for i in ids:
+            if not self.is_byte[i]:
+                size = len(self.pieces[i])
+            elif run:
+                run -= 1
+                size = 0 if run else width
+            else:
+                width = _width(left[0])
+                run = width - 1
+                size = 0 if run else 1
+            left = left[size:]
+            lens.append(size)
+        return [x << 16 | x if self.is_byte[i] else self.sizes[i] for x, i in zip(lens, ids)]
 
     def units_of(self, texts: list[str]) -> list[list[str]]:
         """The units of normalised texts, all of them known afterwards."""
         found = [self.unit.findall(t) for t in texts]
-        new = set().union(*found).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > self.table_units:
-                self.known.clear()
-                new = set().union(*found)
-            self._learn(new)
+        units = set().union(*found)
+        if not units <= self.known.keys():
+            if len(self.known) > self.table_units // 2:  # the halves change places: all must be in the new one
+                self._learn(units)
+            else:
+                self._learn(units.difference(self.known))
         return found
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[Encoding, str]]:
@@ -237,37 +254,42 @@ class Encoder:
         if self.trivial:
             normal = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
         else:
-            normal = []
-            for k, t in enumerate(texts):
+            normal = [""] * len(texts)
+        for k, t in enumerate(texts):
+            if not self.trivial or MARK in t:
                 made, aligned[k] = self.normalise(t.encode())
-                normal.append(made.decode())
-        for text, to_source, units in zip(texts, aligned, self.units_of(normal)):
-            of = [self.known[u] for u in units]
+                normal[k] = made.decode()
+        for to_source, units in zip(aligned, self.units_of(normal)):
+            known = self.known
+            of = [known[u] for u in units]
             ids = np.frombuffer(b"".join([x[0] for x in of]), np.int32)
-            ends = np.frombuffer(b"".join([x[1] for x in of]), np.int32).cumsum()
-            begins = np.concatenate((np.zeros(min(1, len(ends)), ends.dtype), ends[:-1]))
-            if to_source is None:
-                to_source = self._straight(text)
-            yield Encoding(ids.tolist(), to_source[begins].tolist(), to_source[ends].tolist()) if isinstance(to_source, np.ndarray) else Encoding(ids.tolist(), [to_source[x] for x in begins], [to_source[x] for x in ends]), ",".join([x[2] for x in of])
-
-    @staticmethod
-    def _straight(text: str) -> np.ndarray:
-        """The alignment where a space becomes a mark and nothing else changes."""
-        raw = np.frombuffer(text.encode(), np.uint8)
-        width = np.where(raw == 32, 3, 1)
-        return np.concatenate((np.zeros(3 * bool(len(raw)), np.int64), np.repeat(np.arange(len(raw)), width), [len(raw)]))
+            sizes = np.frombuffer(b"".join([x[1] for x in of]), np.int32)
+            if to_source is None:  # a mark is one byte of the source, the prefix none
+                ends = (sizes & 0xFFFF).cumsum() - 1
+                begins = np.concatenate((np.zeros(min(1, len(ends)), ends.dtype), ends[:-1]))
+            else:
+                to_source = np.array(to_source)
+                ends = (sizes >> 16).cumsum()
+                begins = to_source[np.concatenate((np.zeros(min(1, len(ends)), ends.dtype), ends[:-1]))]
+                ends = to_source[ends]
+            yield Encoding(ids, begins, ends), ",".join([x[2] for x in of])
 
     # -- decoding
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks become spaces, bytes characters, and the prefix mark goes."""
-        if not ids:
+        if not len(ids):
             return ""
+        if not self.squeeze and self.kinds[ids[0]] == NORMAL:
+            joined = b"".join([self.surfaces[i] for i in ids])
+            if self.prefix and self.pieces[ids[0]].startswith(_MARK):
+                joined = joined[1:]
+            try:
+                return joined.decode()
+            except UnicodeDecodeError:  # broken characters, which the slow way replaces
+                pass
         out, run = [], bytearray()
         first = True
-        if self.bytes_at.keys().isdisjoint(ids) and not {0, 1, 2} & set(ids):
-            joined = b"".join([self.pieces[i] for i in ids]).decode().replace(MARK, " ")
-            return (joined.lstrip(" ") if self.squeeze else joined.removeprefix(" ")) if self.prefix or self.squeeze else joined
         for i in ids:
             if i in self.bytes_at:
                 run.append(self.bytes_at[i])
@@ -290,6 +312,11 @@ class Encoder:
         return "".join(out) + _characters(bytes(run))
 
 
+def _width(first: int) -> int:
+    """Bytes of the character that begins with this byte."""
+    return 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+
+
 def _characters(b: bytes) -> str:
     """UTF-8, with one replacement character for each byte that is not part of a character."""
     try:
@@ -366,7 +393,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
         for batch in batches:
             out: list[tuple] = []
             for e, joined in _each(encoder, batch.column(1)):
-                out.append((len(e.ids), sha(joined), sha(encoder.decode(e.ids)), e.ends[-1] if e.ids else 0))
+                out.append((len(e.ids), sha(joined), sha(encoder.decode(e.ids.tolist())), int(e.ends[-1]) if len(e.ids) else 0))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string()), pa.array([x[3] for x in out], pa.int64())],
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "source_bytes"],
