@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import exact_dedup, minhash, mixing, pieces
+from ledgerloom.llm import embeddings, exact_dedup, minhash, mixing, pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_embeddings": embeddings.op1_embeddings,
         "op2_minhash": minhash.op2_minhash,
         "op3_mixing": mixing.op3_mixing,
         "op8_sentencepiece": pieces.op8_sentencepiece,
@@ -22,6 +23,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_embeddings": embeddings.ORACLE,
         "op2_minhash": minhash.ORACLE,
         "op3_mixing": mixing.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
