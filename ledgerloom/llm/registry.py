@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import embeddings, exact_dedup, minhash, mixing, pieces
+import corpus_pipeline
+from ledgerloom.llm import embeddings, exact_dedup, minhash, mixing, pieces, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +17,10 @@ def queries() -> dict[str, Query]:
         "op1_embeddings": embeddings.op1_embeddings,
         "op2_minhash": minhash.op2_minhash,
         "op3_mixing": mixing.op3_mixing,
+        "op5_quality": quality.op5_quality,
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
