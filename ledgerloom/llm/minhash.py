@@ -240,6 +240,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return out.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
 
 
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    gone = classes(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
