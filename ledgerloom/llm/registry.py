@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ledgerloom.llm import embeddings, exact_dedup, minhash, mixing, pieces, quality
+from ledgerloom.llm import embeddings, exact_dedup, minhash, mixing, pieces, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op2_minhash": minhash.op2_minhash,
         "op3_mixing": mixing.op3_mixing,
         "op5_quality": quality.op5_quality,
+        "op7_substrings": substrings.op7_substrings,
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "pipeline": corpus_pipeline.run,
