@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ledgerloom.llm import embeddings, exact_dedup, minhash, mixing, pieces, quality, substrings
+from ledgerloom.llm import embeddings, exact_dedup, minhash, mixing, pieces, pii, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op1_embeddings": embeddings.op1_embeddings,
         "op2_minhash": minhash.op2_minhash,
         "op3_mixing": mixing.op3_mixing,
+        "op4_pii": pii.op4_pii,
         "op5_quality": quality.op5_quality,
         "op7_substrings": substrings.op7_substrings,
         "op8_sentencepiece": pieces.op8_sentencepiece,
