@@ -45,7 +45,23 @@ def dealt(rows: DataFrame, key: list[str], n: str, by: str, block: int, major: s
     return out.repartition(F.col("_unit")).sortWithinPartitions("_unit")
 
 
-def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+def array_of(rows: pa.Table, name: str) -> pa.Array:
+    column = rows.column(name).combine_chunks()
+    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+
+
+def matrix(lists: pa.ListArray) -> np.ndarray:
+    """A row a list; shorter lists end in zeros."""
+    flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    width = int(sizes.max(initial=0))
+    if (sizes == width).all():
+        return flat.reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width), flat.dtype)
+    out[np.arange(width) < sizes[:, None]] = flat
+    return out
+
+
+def units(batches: Iterator[pa.RecordBatch], gathered: int = GATHERED) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Whole units: a table of rows, the first row of each unit (and the end), and the sides."""
     held: list[pa.RecordBatch] = []
 
@@ -54,13 +70,12 @@ def units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndar
         return t.combine_chunks(), starts, t.column("_side").to_numpy()
 
     def codes_of(t: pa.Table) -> np.ndarray:
-        column = t.column("_unit").combine_chunks()
-        return (column.chunk(0) if isinstance(column, pa.ChunkedArray) else column).dictionary_encode().indices.to_numpy()
+        return array_of(t, "_unit").dictionary_encode().indices.to_numpy()
 
     for batch in batches:
-        for start in range(0, len(batch), GATHERED):
-            held.append(batch.slice(start, GATHERED))
-            if sum(map(len, held)) < GATHERED:
+        for start in range(0, len(batch), gathered):
+            held.append(batch.slice(start, gathered))
+            if sum(map(len, held)) < gathered:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
             codes = codes_of(t)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.blocks import dealt, pairs_within, units
+from ledgerloom.llm.blocks import array_of, dealt, matrix, pairs_within, units
 from ledgerloom.llm.common import cut, table
 from ledgerloom.llm.components import components
 
@@ -71,22 +71,6 @@ def _words(column: pa.ChunkedArray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(flat, ((0, 0), (0, -width % 8)))).view(np.uint64)
 
 
-def _array(rows: pa.Table, name: str) -> pa.Array:
-    column = rows.column(name).combine_chunks()
-    return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-
-
-def _matrix(lists: pa.ListArray) -> np.ndarray:
-    """A row a list; shorter lists end in zeros, which no product notices."""
-    flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-    width = int(sizes.max(initial=0))
-    if (sizes == width).all():
-        return flat.reshape(len(sizes), width)
-    out = np.zeros((len(sizes), width), flat.dtype)
-    out[np.arange(width) < sizes[:, None]] = flat
-    return out
-
-
 def _near(most: int):
     """Units of signs to the rows that meet a row whose signs are near."""
 
@@ -125,11 +109,11 @@ def _links(similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts, sides in units(batches):
-            v = _matrix(_array(rows, "vector")).astype(np.float64)
+            v = matrix(array_of(rows, "vector")).astype(np.float64)
             length = np.sqrt(np.einsum("ij,ij->i", v, v))
             v = v / length[:, None]
             place, copies = rows.column("place").to_numpy(), rows.column("copies").to_numpy()
-            keys = _matrix(_array(rows, "keys"))
+            keys = matrix(array_of(rows, "keys"))
             count = np.zeros(len(rows), np.int64)
             linked: list[tuple[np.ndarray, np.ndarray]] = []
             for i, j in pairs_within(starts, sides):

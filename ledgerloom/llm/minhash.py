@@ -15,8 +15,9 @@ In each bucket first every class is tried against the least class (a star, not a
 connected components are formed of the confirmed links. What a star may have lost lies in buckets
 that still hold several components: there, in blocks, every pair of different components whose
 sketches do not exclude the threshold (by seven standard deviations) and whose set sizes allow it
-is verified as well. No pair of a bucket is capped or dropped; pairs inside a component need no
-test, since they can change no component.
+meets in the first bucket that the two share, and is verified on full sets unless its components
+have been joined before. What leaves a block is a forest of links. No pair is capped or dropped;
+pairs inside a component need no test, since they can change no component.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Documents without words have n_shingles
 0 and link with nothing, null texts likewise. Rows with one id are one document's: they are linked.
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.blocks import dealt, pairs_within, units
+from ledgerloom.llm.blocks import array_of, dealt, matrix, pairs_within, units
 from ledgerloom.llm.common import cut, table
 from ledgerloom.llm.components import components
 
@@ -60,6 +61,10 @@ def bands(num: int, den: int, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - (num / den) ** rows))
 
 
+def _digest(tokens: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(tokens)).digest()[:16]
+
+
 class Shingler:
     """Hash sets of word runs, in one process."""
 
@@ -136,7 +141,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int, n_bands:
                 for column in s.reshape(n_bands, rows).T:
                     key = _mix(key + column)
                 sizes.append(len(elements))
-                digests.append(hashlib.sha256(b" ".join(tokens)).digest()[:16])
+                digests.append(_digest(tokens))
                 keys.append(key.view(np.int64))
                 bytes_.append((s & _U(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -147,54 +152,114 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int, n_bands:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
-def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """(doc, text) to (doc, hashes)."""
+def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(cls, hashes): the full sets of the wanted (cls, doc, digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            docs = batch.column(0)
-            at, out, held = 0, [], 0
-            for text in batch.column(1):
-                out.append(shingle((text.as_py() or b"").lower().split()).view(np.int64))
-                held += len(out[-1])
+            keys, sets, held = [], [], 0
+            for cls, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                tokens = (text.as_py() or b"").lower().split()
+                if _digest(tokens) != digest:  # another text of the same id
+                    continue
+                keys.append(cls)
+                sets.append(shingle(tokens).view(np.int64))
+                held += len(sets[-1])
                 if held > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([docs.slice(at, len(out)), pa.array(out, pa.list_(pa.int64()))], ["doc", "hashes"])
-                    at, out, held = at + len(out), [], 0
-            yield pa.RecordBatch.from_arrays([docs.slice(at, len(out)), pa.array(out, pa.list_(pa.int64()))], ["doc", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "hashes"])
+                    keys, sets, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "hashes"])
 
-    return texts.mapInArrow(run, "doc long, hashes array<long>")
+    return texts.join(wanted, "doc").select("cls", "digest", "text").mapInArrow(run, "cls long, hashes array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Sets are made of the paired documents only."""
-    paired = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = cut(_sets(texts.join(paired, "doc", "left_semi"), words))
-    left = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("a_set"))
-    right = sets.select(F.col("doc").alias("b"), F.col("hashes").alias("b_set"))
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    left = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("a_set"))
+    right = sets.select(F.col("cls").alias("b"), F.col("hashes").alias("b_set"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("a_set", "b_set")).cast("long")
     union = F.size("a_set").cast("long") + F.size("b_set") - F.col("common")
-    return both.withColumn("common", common).where(den * F.col("common") >= num * union).select("a", "b")
+    return both.withColumn("common", common).where(den * F.col("common") >= num * union).select("a", "b").distinct()
+
+
+class _Apart:
+    """Pairs of a unit's rows that may be similar, are in different components and meet here first."""
+
+    def __init__(self, num: int, den: int, t: int):
+        s = num / den
+        p = s + (1 - s) / 256  # equal bytes of unequal values count too
+        self.num, self.den, self.t = num, den, t
+        self.least = math.floor(t * p - 7 * math.sqrt(t * p * (1 - p)))
+
+    def __call__(self, rows: pa.Table, starts: np.ndarray, sides: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, equal coordinates), in bounded pieces."""
+        comp, size, key = (rows.column(n).to_numpy() for n in ("component", "n_shingles", "key"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, self.t)
+        bands_ = matrix(array_of(rows, "bands"))
+        for i, j in pairs_within(starts, sides):
+            near = (comp[i] != comp[j]) & (self.den * np.minimum(size[i], size[j]) >= self.num * np.maximum(size[i], size[j]))
+            i, j = i[near], j[near]
+            equal = (sketch[i] == sketch[j]).sum(1)
+            near = equal >= self.least
+            i, j, equal = i[near], j[near], equal[near]
+            if len(i):
+                first = (bands_[i] == bands_[j]).argmax(1)
+                here = bands_[i, first] == key[i]
+                yield i[here], j[here], equal[here]
+
+
+def _active(apart: _Apart):
+    """Units of sketches to the rows (cls, key) of such a pair."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts, sides in units(batches):
+            hit = np.zeros(len(rows), bool)
+            for i, j, _ in apart(rows, starts, sides):
+                hit[i] = True
+                hit[j] = True
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(rows.column(n).to_numpy()[hit]) for n in ("cls", "key")], ["cls", "key"])
+
+    return run
 
-def _apart(num: int, den: int, t: int):
-    """Units of sketches to the pairs that may be similar and are in different components."""
-    s = num / den
-    p = s + (1 - s) / 256  # equal bytes of unequal values count too
-    least = math.floor(t * p - 7 * math.sqrt(t * p * (1 - p)))
+
+def _joined(apart: _Apart):
+    """Units of full sets to links (a, b) that join their components: a forest, not all links."""
+    num, den = apart.num, apart.den
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts, sides in units(batches):
-            doc, comp, size = (rows.column(n).to_numpy() for n in ("doc", "component", "n_shingles"))
-            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, t)
-            for i, j in pairs_within(starts, sides):
-                near = (comp[i] != comp[j]) & (den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j]))
-                i, j = i[near], j[near]
-                near = (sketch[i] == sketch[j]).sum(1) >= least
-                i, j = i[near], j[near]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[i], doc[j])), pa.array(np.maximum(doc[i], doc[j]))], ["a", "b"])
+        for rows, starts, sides in units(batches, 1024):
+            cls, comp = rows.column("cls").to_pylist(), rows.column("component").to_pylist()
+            hashes, sets = array_of(rows, "hashes"), {}
+            above = {c: c for c in comp}
+
+            def root(c: int, above: dict = above) -> int:
+                while above[c] != c:
+                    above[c] = c = above[above[c]]
+                return c
+
+            def members(k: int, sets: dict = sets, hashes: pa.Array = hashes) -> set:
+                if k not in sets:
+                    sets[k] = set(hashes[k].values.to_numpy().tolist())
+                return sets[k]
+
+            a, b = [], []
+            for i, j, equal in apart(rows, starts, sides):
+                order = np.argsort(-equal, kind="stable")  # the likeliest first: the more are joined, the fewer are left
+                for p, q in zip(i[order].tolist(), j[order].tolist()):
+                    x, y = root(comp[p]), root(comp[q])
+                    if x == y:
+                        continue
+                    s, u = members(p), members(q)
+                    common = len(s & u)
+                    if den * common >= num * (len(s) + len(u) - common):
+                        above[max(x, y)] = min(x, y)
+                        a.append(cls[p])
+                        b.append(cls[q])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -205,36 +270,42 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     Two documents are linked when den * |intersection| >= num * |union| of their sets.
     """
     n_bands = bands(num, den, rows, miss)
-    t = n_bands * rows
+    apart = _Apart(num, den, n_bands * rows)
     sketched = cut(_sketches(docs, id_col, text_col, words, n_bands, rows))
     with_words = sketched.where("doc is not null and n_shingles > 0")
-    # copies: the least document stands for its word sequence
-    heads = with_words.groupBy("digest").agg(F.min("doc").alias("head"))
-    copies = cut(with_words.select("doc", "digest").join(heads, "digest").select("doc", "head").distinct())
-    own = cut(with_words.join(copies.where("doc = head").select("doc"), "doc", "left_semi").dropDuplicates(["doc", "digest"]))
+    # copies: the least document stands for its word sequence, and the two are a class
+    heads = cut(with_words.groupBy("digest").agg(F.min("doc").alias("doc")))
+    own = with_words.join(heads, ["digest", "doc"]).dropDuplicates(["digest", "doc"])
+    own = cut(own.select(F.monotonically_increasing_id().alias("cls"), "doc", "digest", "n_shingles", "bands", "sketch"))
+    thin = own.select("cls", "n_shingles")
     # buckets with several classes, and their stars
-    rows_ = own.select("doc", "digest", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    stars = rows_.groupBy("band", "key").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    in_buckets = cut(rows_.join(stars, ["band", "key"]).select("doc", "digest", "n_shingles", "band", "key", "least"))
+    keyed = own.select("cls", F.explode("bands").alias("key"))
+    stars = keyed.groupBy("key").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    in_buckets = cut(keyed.join(stars, "key").select("cls", "key", "least"))
+    met = in_buckets.select("cls").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    least = own.select(F.col("doc").alias("a"), F.col("n_shingles").alias("a_size")).distinct()
-    tried = in_buckets.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b"), F.col("n_shingles").alias("b_size")).distinct().join(least, "a")
-    tried = cut(tried.where(den * F.least("a_size", "b_size") >= num * F.greatest("a_size", "b_size")).select("a", "b").distinct())
-    confirmed = cut(_verified(tried, texts, words, num, den))
+    sets = cut(_sets(texts, own.select("cls", "doc", "digest").join(met, "cls", "left_semi"), words))
+    tried = in_buckets.where("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct()
+    tried = tried.join(thin.select(F.col("cls").alias("a"), F.col("n_shingles").alias("a_size")), "a").join(thin.select(F.col("cls").alias("b"), F.col("n_shingles").alias("b_size")), "b")
+    tried = tried.where(den * F.least("a_size", "b_size") >= num * F.greatest("a_size", "b_size")).select("a", "b")
+    confirmed = cut(_verified(tried, sets, num, den))
     found = components(confirmed)
     # what is left: buckets with several components
-    label = F.coalesce("component", "doc")
-    labelled = in_buckets.drop("least").join(found.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", label)
-    held = labelled.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = held.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("several")).where("several > 1")
-    mixed = mixed.select("band", "key", "n", F.col("most.n").alias("n_most"), F.col("most.component").alias("most"))
-    left = labelled.join(mixed, ["band", "key"]).join(own.select("doc", "digest", "sketch"), ["doc", "digest"]).withColumn("in_most", F.col("component") == F.col("most"))
-    apart = dealt(left, ["band", "key"], "n", "doc", block, "in_most", "n_most").mapInArrow(_apart(num, den, t), "a long, b long").distinct()
-    apart = cut(apart.join(tried, ["a", "b"], "left_anti"))
-    if not apart.isEmpty():
-        confirmed = confirmed.unionByName(_verified(apart, texts, words, num, den))
-    same = copies.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b"))
-    found = components(confirmed.unionByName(same))
+    labelled = in_buckets.select("cls", "key").join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    held = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = held.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("several")).where("several > 1")
+    mixed = mixed.select("key", "n", F.col("most.n").alias("n_most"), F.col("most.component").alias("most"))
+    left = cut(labelled.join(mixed, "key").select("cls", "key", "component", "n", "n_most", (F.col("component") == F.col("most")).alias("in_most")))
+    how = (["key"], "n", "cls", block, "in_most", "n_most")
+    sketches = own.select("cls", "n_shingles", "bands", "sketch")
+    active = cut(dealt(left.join(sketches, "cls"), *how).mapInArrow(_active(apart), "cls long, key long").distinct())
+    wide = left.join(active, ["cls", "key"]).join(sketches, "cls").join(sets.dropDuplicates(["cls"]), "cls")
+    joined = dealt(wide, *how).mapInArrow(_joined(apart), "a long, b long")
+    links = confirmed.unionByName(joined)
+    names = own.select("cls", "doc")
+    links = links.join(names.select(F.col("cls").alias("a"), F.col("doc").alias("x")), "a").join(names.select(F.col("cls").alias("b"), F.col("doc").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = with_words.select("digest", F.col("doc").alias("b")).join(heads.withColumnRenamed("doc", "a"), "digest").where("a <> b").select("a", "b")
+    found = components(links.unionByName(same))
     out = sketched.select("doc", "n_shingles").join(found.withColumnRenamed("id", "doc"), "doc", "left")
     component = F.coalesce("component", "doc")
     return out.select(F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
