@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,26 @@ def n_words(c: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def publish(spark: SparkSession, staged: str, target: str) -> bool:
+    """Move a finished directory to ``target`` in one step; False, and nothing moved, if that exists."""
+    jvm = spark._jvm
+    hadoop, conf = jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    source, to = hadoop.Path(staged), hadoop.Path(target)
+    to.getFileSystem(conf).mkdirs(to.getParent())
+    none = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        hadoop.FileContext.getFileContext(source.toUri(), conf).rename(source, to, none)
+    except Py4JJavaError as e:
+        if to.getFileSystem(conf).exists(to):
+            return False
+        raise e
+    return True
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a directory; none if it does not exist."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ledgerloom.llm import embeddings, exact_dedup, minhash, mixing, pieces, pii, quality, substrings
+from ledgerloom.llm import embeddings, exact_dedup, minhash, mixing, pieces, pii, quality, sharding, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op3_mixing": mixing.op3_mixing,
         "op4_pii": pii.op4_pii,
         "op5_quality": quality.op5_quality,
+        "op6_sharding": sharding.op6_sharding,
         "op7_substrings": substrings.op7_substrings,
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
