@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ledgerloom.llm import embeddings, exact_dedup, minhash, mixing, pieces, pii, quality, sharding, substrings
+from ledgerloom.llm import embeddings, exact_dedup, minhash, mixing, pieces, pii, quality, sharding, substrings, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op6_sharding": sharding.op6_sharding,
         "op7_substrings": substrings.op7_substrings,
         "op8_sentencepiece": pieces.op8_sentencepiece,
+        "op9_token_counts": token_counts.op9_token_counts,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "pipeline": corpus_pipeline.run,
     }
