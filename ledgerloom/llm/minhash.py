@@ -280,7 +280,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     thin = own.select("cls", "n_shingles")
     # buckets with several classes, and their stars
     keyed = own.select("cls", F.explode("bands").alias("key"))
-    stars = keyed.groupBy("key").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    stars = keyed.groupBy("key").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = cut(stars.drop("n"))  # tables of their own can be joined with a hot key split
     in_buckets = cut(keyed.join(stars, "key").select("cls", "key", "least"))
     met = in_buckets.select("cls").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
@@ -294,7 +295,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     labelled = in_buckets.select("cls", "key").join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     held = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = held.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("several")).where("several > 1")
-    mixed = mixed.select("key", "n", F.col("most.n").alias("n_most"), F.col("most.component").alias("most"))
+    mixed = cut(mixed.select("key", "n", F.col("most.n").alias("n_most"), F.col("most.component").alias("most")))
     left = cut(labelled.join(mixed, "key").select("cls", "key", "component", "n", "n_most", (F.col("component") == F.col("most")).alias("in_most")))
     how = (["key"], "n", "cls", block, "in_most", "n_most")
     sketches = own.select("cls", "n_shingles", "bands", "sketch")
