@@ -1,0 +1 @@
+"""Reserved. The artifact rules need whole artifacts, so nothing here works on streams."""
