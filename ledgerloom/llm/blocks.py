@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows gathered before whole units are handed on; pairs of indices handed on at once.
-GATHERED, PAIRS = 8192, 200_000
+GATHERED, PAIRS = 8192, 20_000
 
 def dealt(rows: DataFrame, key: list[str], n: str, by: str, block: int, major: str | None = None, n_major: str | None = None) -> DataFrame:
     """``rows``, repeated for each unit they belong to, with ``_unit`` and ``_side``, sorted by unit.
