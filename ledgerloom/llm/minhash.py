@@ -45,6 +45,7 @@ ROWS, MISS = 6, 1e-6
 #: Words whose hash a task keeps.
 MEMO = 400_000
 BLOCK = 1024
+BROADCAST_IDS = 1_000_000
 
 _U = np.uint64
 # Fixed values of a 64-bit mixing function.
@@ -313,9 +314,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    gone = classes(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    Up to BROADCAST_IDS ids of dropped documents are broadcast; more are dealt out with the texts.
+    """
+    gone = cut(classes(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct())
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
