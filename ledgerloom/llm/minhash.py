@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.blocks import array_of, dealt, matrix, pairs_within, units
-from ledgerloom.llm.common import cut, table
+from ledgerloom.llm.common import cut, drop_path, shared_path, table
 from ledgerloom.llm.components import components
 
 WORDS, SIMILARITY = 5, (80, 100)
@@ -272,12 +272,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     """
     n_bands = bands(num, den, rows, miss)
     apart = _Apart(num, den, n_bands * rows)
-    sketched = cut(_sketches(docs, id_col, text_col, words, n_bands, rows))
+    # the wide table of sketches goes as soon as the classes have theirs
+    path = shared_path(docs.sparkSession, "sketches")
+    made = _sketches(docs, id_col, text_col, words, n_bands, rows)
+    made.write.parquet(path)
+    wide = docs.sparkSession.read.schema(made.schema).parquet(path)
+    sketched = cut(wide.select("doc", "n_shingles", "digest"))
     with_words = sketched.where("doc is not null and n_shingles > 0")
     # copies: the least document stands for its word sequence, and the two are a class
     heads = cut(with_words.groupBy("digest").agg(F.min("doc").alias("doc")))
-    own = with_words.join(heads, ["digest", "doc"]).dropDuplicates(["digest", "doc"])
+    own = wide.join(heads, ["digest", "doc"]).dropDuplicates(["digest", "doc"])
     own = cut(own.select(F.monotonically_increasing_id().alias("cls"), "doc", "digest", "n_shingles", "bands", "sketch"))
+    drop_path(docs.sparkSession, path)
     thin = own.select("cls", "n_shingles")
     # buckets with several classes, and their stars
     keyed = own.select("cls", F.explode("bands").alias("key"))
