@@ -28,6 +28,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +51,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _fold(carried: bool, fold_bytes: int):
-    """Batches of (id, text, row struct) to folded rows; the row that stays carries ``body``."""
+def _fold(carried: str | None, fold_bytes: int):
+    """Batches of (id, text), or of (id, row struct) with the text's name in ``carried``, to folded rows.
+
+    The row that stays carries ``body``: its text in normal form, or its struct.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -72,7 +76,7 @@ def _fold(carried: bool, fold_bytes: int):
 
             def batch() -> pa.RecordBatch:
                 arrays = [pa.array(out[f.name], f.type) for f in _FOLDED_PA]
-                if carried:
+                if carried is not None:
                     arrays.append(pa.concat_arrays([pa.nulls(1, kinds) if b is None else b for b in bodies]))
                 else:
                     arrays.append(pa.array(bodies, pa.binary()).cast(pa.string()))
@@ -98,9 +102,10 @@ def _fold(carried: bool, fold_bytes: int):
                 yield batch()
 
         for batch in batches:
-            body = batch.column(2) if carried else None
-            kinds = body.type if carried else None
-            for k, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+            body = batch.column(1) if carried is not None else None
+            kinds = body.type if carried is not None else None
+            texts = batch.column(1) if carried is None else pc.struct_field(body, carried).cast(pa.string()).cast(pa.binary())
+            for k, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), texts)):
                 content = (text.as_py() or b"").lower()  # on bytes: A-Z only
                 key = base + made
                 made += 1
@@ -108,14 +113,14 @@ def _fold(carried: bool, fold_bytes: int):
                 at = groups.get(content)
                 if at is None:
                     at = groups[content] = len(best)
-                    best.append([rank, 1, body.take(pa.array([k])) if carried else content])
-                    held += len(content) * (1 + carried) + 200
+                    best.append([rank, 1, content if carried is None else body.take(pa.array([k]))])
+                    held += len(content) * (1 if carried is None else 2) + 200
                 else:
                     known = best[at]
                     known[1] += 1
                     if rank > known[0]:
                         known[0] = rank
-                        if carried:
+                        if carried is not None:
                             known[2] = body.take(pa.array([k]))
                 rows.append((key, doc, at))
                 held += 120
@@ -190,13 +195,11 @@ def _deal(rows: DataFrame, n: int, over: list[DataFrame]) -> DataFrame:
 
 def _run(docs: DataFrame, id_col: str, text_col: str, carried: bool, fold_bytes: int, table_bytes: int, finish) -> DataFrame:
     spark = docs.sparkSession
-    row = [F.struct("*").alias("body")] if carried else []
-    body = docs.schema.simpleString() if carried else "string"
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *row)
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.struct("*").alias("body") if carried else F.col(text_col).cast("binary").alias("text"))
     schema = T._parse_datatype_string(_FOLDED)
     schema = T.StructType([*schema.fields, T.StructField("body", docs.schema if carried else T.StringType())])
     path = shared_path(spark, "grace")
-    narrow.mapInArrow(_fold(carried, fold_bytes), schema).write.parquet(path)
+    narrow.mapInArrow(_fold(text_col if carried else None, fold_bytes), schema).write.parquet(path)
     spilled = spark.read.schema(schema).parquet(path)
     heads = spilled.where("n is not null")
     text = F.col("body")[text_col] if carried else F.col("body")

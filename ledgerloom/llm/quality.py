@@ -28,6 +28,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,11 +183,12 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", k: int = NEI
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored, terms = _scores(shared.value, k, sharpness), Terms()
         for batch in batches:
-            keep = pa.array(scored(batch.column(0), terms) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(1).filter(keep)], ["row"])
+            texts = pc.struct_field(batch.column(0), text_col).cast(pa.string()).cast(pa.binary())
+            keep = pa.array(scored(texts, terms) >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], ["row"])
 
-    rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.struct("*").alias("row"))
-    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(run, rows.schema).select("row.*")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
