@@ -33,8 +33,8 @@ from ledgerloom.llm.common import table
 
 MARK = "▁"
 _MARK = MARK.encode()
-#: Units kept in a task's table, whose older half goes when it is full; about 300 bytes each.
-TABLE_UNITS = 800_000
+#: Units kept in a task's table, whose older half goes when it is full; about 400 bytes each.
+TABLE_UNITS = 300_000
 
 # Fixed values of the serialised model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
