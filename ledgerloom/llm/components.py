@@ -19,8 +19,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Repeated links, links in both directions and links of a vertex with itself do no harm.
     """
-    one = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    both = cut(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    # links are fixed before they are turned round: computed twice, a forest of links may be two forests
+    one = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
