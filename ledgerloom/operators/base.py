@@ -3,6 +3,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import refs
+
 DIAGNOSTIC = ["ak", "rule_id", "category", "severity", "target", "message"]
 
 
@@ -23,3 +25,13 @@ def named(kind: str, c: str, missing: str = "<unknown>") -> Column:
 def lookup(record: DataFrame, **columns: str) -> DataFrame:
     """Records that a reference can find, as (ak, key, ...): those with any content."""
     return record.where("filled").select("ak", F.col("id").alias("key"), *(F.col(c).alias(n) for n, c in columns.items()))
+
+
+def records_of_type(record: DataFrame, suffix: str) -> DataFrame:
+    """Records whose type is ``sol:record/suffix``."""
+    return record.where(F.col("record_type") == "sol:record/" + suffix)
+
+
+def cell_key(c: Column) -> Column:
+    """The id of the cell that a reference or an output of it names."""
+    return F.substring_index(refs.bare_id(c, "cell"), "#", 1)

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import docs, refs
+from ledgerloom.operators.base import cell_key, records_of_type
 
 
 def test_parse_ref(spark):
@@ -21,3 +22,9 @@ def test_small_functions(spark):
     ).first()
     assert (r.a, r.b, r.j, r.bad, r.n, r.s) == ("a:b", "b", '{"a":null,"b":[1,"é"]}', None, True, True)
     assert r.o == "object:" + r.d.removeprefix("digest:")
+
+
+def test_accessors(spark):
+    r = spark.createDataFrame([("cell:a#out", "sol:record/claim"), ("b#x", "sol:record/review"), ("c", None)], "c string, record_type string")
+    assert [x.k for x in r.select(cell_key(F.col("c")).alias("k")).collect()] == ["a", "b", "c"]
+    assert [x.c for x in records_of_type(r, "review").collect()] == ["b#x"]

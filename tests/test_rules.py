@@ -334,6 +334,18 @@ def test_corpus_check(relations):
     assert len(rows) == len(CASES) and all(r.ok for r in rows)
 
 
+def test_corpus_command(spark, root, tmp_path, capsys):
+    assert corpus.main([f"{root}/v*/artifact.d"]) == 0
+    assert capsys.readouterr().out.endswith("2 of 2 cases give what they expect\n")
+    a = base()
+    a["records"]["ok"]["reviewed_by"] = "bot"
+    a["expected_diagnostics"] = {"expected_rule_ids": ["V5-03"]}
+    write(a, tmp_path / "x" / "artifact.d")
+    assert corpus.main([f"{tmp_path}/x/artifact.d", "--strict-extra", "--out", f"file://{tmp_path}/out"]) == 1
+    assert "missing=['V5-03'] extra=['V4-02']" in capsys.readouterr().out
+    assert spark.read.json(f"file://{tmp_path}/out").first().rule_id == "V4-02"
+
+
 def test_relations_can_be_stored(spark, relations, found, tmp_path):
     relations.save(f"file://{tmp_path}/r")
     again = diagnose.diagnose(Relations.open(spark, f"file://{tmp_path}/r"), ["V0-05/06", "V1-06/07", "V5-03"])
