@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import cut, drop_path, shared_path, table
+from ledgerloom.llm.common import cut, drop_path, shared_path, table, trimmed
 
 FOLD_BYTES = 48 << 20
 TABLE_BYTES = 96 << 20
@@ -199,7 +199,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, carried: bool, fold_bytes:
     schema = T._parse_datatype_string(_FOLDED)
     schema = T.StructType([*schema.fields, T.StructField("body", docs.schema if carried else T.StringType())])
     path = shared_path(spark, "grace")
-    narrow.mapInArrow(_fold(text_col if carried else None, fold_bytes), schema).write.parquet(path)
+    narrow.mapInArrow(trimmed(_fold(text_col if carried else None, fold_bytes)), schema).write.parquet(path)
     spilled = spark.read.schema(schema).parquet(path)
     heads = spilled.where("n is not null")
     text = F.col("body")[text_col] if carried else F.col("body")
@@ -207,7 +207,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, carried: bool, fold_bytes:
     dealt = _deal(heads.select("group_key", "id", "n", text.cast("binary").alias("content"), *_HASHES), n, over)
     dealt = dealt.select("bucket", "group_key", "id", "n", "content")
     dealt = dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(_build, "group_key long, keep_id long, keep_row long, group_size long")
+    found = dealt.mapInArrow(trimmed(_build), "group_key long, keep_id long, keep_row long, group_size long")
     out = finish(spilled, cut(found), path)
     return out
 

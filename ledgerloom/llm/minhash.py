@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.blocks import array_of, dealt, matrix, pairs_within, units
-from ledgerloom.llm.common import cut, drop_path, shared_path, table
+from ledgerloom.llm.common import cut, drop_path, shared_path, table, trimmed
 from ledgerloom.llm.components import components
 
 WORDS, SIMILARITY = 5, (80, 100)
@@ -150,7 +150,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int, n_bands:
                 ["doc", "n_shingles", "digest", "bands", "sketch"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc long, n_shingles long, digest binary, bands array<long>, sketch binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).mapInArrow(trimmed(run), "doc long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -172,7 +172,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     keys, sets, held = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "hashes"])
 
-    return texts.join(wanted, "doc").select("cls", "digest", "text").mapInArrow(run, "cls long, hashes array<long>")
+    return texts.join(wanted, "doc").select("cls", "digest", "text").mapInArrow(trimmed(run), "cls long, hashes array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -306,9 +306,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     left = cut(labelled.join(mixed, "key").select("cls", "key", "component", "n", "n_most", (F.col("component") == F.col("most")).alias("in_most")))
     how = (["key"], "n", "cls", block, "in_most", "n_most")
     sketches = own.select("cls", "n_shingles", "bands", "sketch")
-    active = cut(dealt(left.join(sketches, "cls"), *how).mapInArrow(_active(apart), "cls long, key long").distinct())
+    active = cut(dealt(left.join(sketches, "cls"), *how).mapInArrow(trimmed(_active(apart)), "cls long, key long").distinct())
     wide = left.join(active, ["cls", "key"]).join(sketches, "cls").join(sets.dropDuplicates(["cls"]), "cls")
-    joined = dealt(wide, *how).mapInArrow(_joined(apart), "a long, b long")
+    joined = dealt(wide, *how).mapInArrow(trimmed(_joined(apart)), "a long, b long")
     links = confirmed.unionByName(joined)
     names = own.select("cls", "doc")
     links = links.join(names.select(F.col("cls").alias("a"), F.col("doc").alias("x")), "a").join(names.select(F.col("cls").alias("b"), F.col("doc").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))

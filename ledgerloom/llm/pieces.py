@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import table, trimmed
 
 MARK = "▁"
 _MARK = MARK.encode()
@@ -365,7 +365,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def _encoded(keys: pa.Array, out: list[Encoding]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([keys, *(pa.array([e[k] for e in out], pa.list_(pa.int32())) for k in range(3))], [id_col, "ids", "begins", "ends"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"`{id_col}` long, ids array<int>, begins array<int>, ends array<int>")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(trimmed(run), f"`{id_col}` long, ids array<int>, begins array<int>, ends array<int>")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_path: str | None = None) -> DataFrame:
@@ -377,7 +377,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mod
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoder.decode(x.as_py() or []) for x in batch.column(1)], pa.string())], [id_col, "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias(id_col), F.col(ids_col).cast("array<int>").alias(ids_col)).mapInArrow(run, f"`{id_col}` long, text string")
+    return encoded.select(F.col(id_col).cast("long").alias(id_col), F.col(ids_col).cast("array<int>").alias(ids_col)).mapInArrow(trimmed(run), f"`{id_col}` long, text string")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
@@ -399,7 +399,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "source_bytes"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(run, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string, source_bytes long")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)).mapInArrow(trimmed(run), f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string, source_bytes long")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

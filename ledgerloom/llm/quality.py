@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import table, trimmed
 
 SAMPLE, DIMS, NEIGHBOURS, SHARPNESS, FOLDS, THRESHOLD = 2048, 64, 15, 8, 5, 0.3
 BLOCK = 512
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # at most 2 * sample ids are broadcast
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
-    got = sorted(rows.mapInArrow(run, "id long, label int, terms binary").collect())
+    got = sorted(rows.mapInArrow(trimmed(run), "id long, label int, terms binary").collect())
     if not got:
         return Model(np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0), 0.5)
     x = np.stack([np.frombuffer(r.terms, np.float32) for r in got]).astype(np.float64)
@@ -172,7 +172,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scored(batch.column(1), terms), pa.float64())], ["id", "score"])
 
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, score double")
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(trimmed(run), "id long, score double")
     return found.select(F.col("id").alias(id_col), held_out(F.col("id"), folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -188,7 +188,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", k: int = NEI
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], ["row"])
 
     rows = docs.select(F.struct("*").alias("row"))
-    return rows.mapInArrow(run, rows.schema).select("row.*")
+    return rows.mapInArrow(trimmed(run), rows.schema).select("row.*")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
