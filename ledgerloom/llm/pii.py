@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, in DataFrame operations only.
 
 Found and validated are card numbers (13 to 19 digits, plain or in groups; Luhn), North American
-phone numbers, social security numbers, IPv4 addresses (octets up to 255), dates (year-month-day
+phone numbers (those with +1 and brackets whatever their area code and exchange), social security numbers, IPv4 addresses (octets up to 255), dates (year-month-day
 or month/day/year, existing days from 1900-01-01, ``DAYS`` of them) and e-mail addresses. What
 looks like one and is not valid stays as it is.
 
@@ -34,7 +34,7 @@ _EMAIL = r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+
 _DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\d/-])"
 _IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-_PHONE = r"(?:\+1[ .-]?|(?<![\d.+-]))(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)|\+1[2-9]\d{2}[2-9]\d{6}(?!\d)"
+_PHONE = r"\+1[ .-]?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?:\+1[ .-]?|(?<![\d.+-]))(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)|\+1[2-9]\d{2}[2-9]\d{6}(?!\d)"
 _CARD = r"(?<![\d.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 PATTERN = "|".join((_EMAIL, _DATE, _IP, _SSN, _PHONE, _CARD))
 KINDS = ("email", "date", "ip", "ssn", "phone", "card")
@@ -105,8 +105,13 @@ def _phone(x: Column, key: str, rounds: int) -> Column:
     def of(d: Column) -> Column:
         ten = F.substring(d, F.length(d) - 9, F.lit(10))
         n = lambda a, b: F.substring(ten, a, b).cast("long")
-        halves = _permuted(n(1, 3) - 200, (n(4, 3) - 200) * 10000 + n(7, 4), F.lit(800), F.lit(8_000_000), key, "phone", rounds)
-        made = _named(halves, lambda s: F.concat(F.substring(d, F.lit(1), F.length(d) - 10), (s["l"] + 200).cast("string"), _pad(s["r"] + 2_000_000, 7)))
+        # numbers outside the numbering plan are permuted among themselves: by low area code, or else by low exchange
+        low_area, low_exchange = n(1, 3) < 200, n(4, 3) < 200
+        area = F.when(low_area, 0).otherwise(200)
+        rest = F.when(low_area | low_exchange, 0).otherwise(2_000_000)
+        size = F.when(low_area, 10_000_000).when(low_exchange, 2_000_000).otherwise(8_000_000)
+        halves = _permuted(n(1, 3) - area, n(4, 7) - rest, F.when(low_area, 200).otherwise(800), size, key, "phone", rounds)
+        made = _named(halves, lambda s: F.concat(F.substring(d, F.lit(1), F.length(d) - 10), _pad(s["l"] + area, 3), _pad(s["r"] + rest, 7)))
         return _into(x, made)
 
     return _named(_digits(x), of)

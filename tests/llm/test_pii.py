@@ -128,3 +128,18 @@ def test_the_network_permutes_the_whole_domain(spark, a, b):
     rows = spark.range(a * b).select(pii._permuted(F.floor(F.col("id") / b), F.col("id") % b, F.lit(a), F.lit(b), "k", "t", pii.ROUNDS).alias("s"))
     got = {(r.s.l, r.s.r) for r in rows.collect()}
     assert got == {(i, j) for i in range(a) for j in range(b)}
+
+
+def test_bracketed_numbers_outside_the_numbering_plan(spark):
+    numbers = ["+1 (017) 555-7713", "+1 (117) 055-7713", "+1(917) 155-0001", "+1 (000) 000-0000", "+1 (212) 555-7713"]
+    docs = spark.createDataFrame([(i, f"a {x} b") for i, x in enumerate(numbers)] + [(9, "(017) 555-7713 017-555-7713")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(docs).collect()}
+    for i, was in enumerate(numbers):
+        now = got[i].text[2:-2]
+        assert got[i].pii_found["phone"] == 1 and now != was and re.sub(r"\d", "0", now) == re.sub(r"\d", "0", was)
+        a, b = (re.sub(r"\D", "", x) for x in (was, now))
+        kind = lambda d: "area" if d[1] < "2" else "exchange" if d[4] < "2" else "valid"
+        assert kind(a) == kind(b) and b[0] == "1"
+    assert got[9].pii_found["phone"] == 0
+    many = spark.createDataFrame([(i, f"+1 (017) 555-{i:04d}") for i in range(300)] + [(300 + i, f"+1 (517) 055-{i:04d}") for i in range(300)], "doc_id long, text string")
+    assert len({r.text for r in pii.pseudonymised(many).collect()}) == 600
