@@ -11,7 +11,8 @@ are at most 2 * ``sample`` * ``dims`` numbers, whatever the size of the input, a
 
 *Score.* Every whole text is projected, its cosines with all labelled vectors are computed exactly,
 in blocks, and the ``k`` nearest vote with their similarity to the power ``sharpness``. The score
-is the share of the votes for label 1. A text without terms, or with no neighbour of positive
+is the share of the votes for label 1. A vote also counts for as many labelled rows as there are of
+its label to one fitted, so the cap on rows does not change what a score means. A text without terms, or with no neighbour of positive
 similarity, scores the share of label 1 among the labelled rows; with no labelled rows at all
 every score is 0.5.
 
@@ -92,6 +93,7 @@ class Model(NamedTuple):
     vectors: np.ndarray  # labelled rows x dims, of length 1
     labels: np.ndarray
     prior: float
+    weights: np.ndarray | None = None  # labelled rows that each row stands for; None: one
 
 
 def held_out(id_: Column, folds: int = FOLDS) -> Column:
@@ -136,7 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     x = np.stack([np.frombuffer(r.terms, np.float32) for r in got]).astype(np.float64)
     y = np.array([r.label for r in got], np.float64)
     directions = _decompose(x, dims)
-    return Model(directions, _unit(x @ directions), y, float(y.mean()))
+    all_rows = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weights = np.array([all_rows[k] / (y == k).sum() for k in y])
+    return Model(directions, _unit(x @ directions), y, all_rows.get(1, 0) / sum(all_rows.values()), weights)
 
 
 def votes(model: Model, x: np.ndarray, k: int = NEIGHBOURS, sharpness: float = SHARPNESS) -> np.ndarray:
@@ -147,6 +151,8 @@ def votes(model: Model, x: np.ndarray, k: int = NEIGHBOURS, sharpness: float = S
     k = min(k, sims.shape[1])
     near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     weight = np.maximum(np.take_along_axis(sims, near, 1), 0) ** sharpness
+    if model.weights is not None:
+        weight = weight * model.weights[near]
     total = weight.sum(1)
     score = np.divide((weight * model.labels[near]).sum(1), total, out=np.full(len(x), model.prior), where=total > 0)
     return np.clip(score, 0, 1)

@@ -65,3 +65,15 @@ def test_odd_rows(spark):
     assert quality.score(d.limit(0), model).count() == 0
     none = quality.fit(d, lab.limit(0))
     assert {r.score for r in quality.score(d, none).collect()} == {0.5}
+
+
+def test_the_cap_keeps_the_ratio_of_labels(spark):
+    docs, labels = corpus(300)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    whole, capped = quality.fit(d, lab), quality.fit(d, lab, sample=20)
+    assert len(capped.labels) == 40 and capped.prior == whole.prior == np.mean([q for i, q in labels if zlib.crc32(str(i).encode()) % 5])
+    assert np.isclose((capped.weights * capped.labels).sum() / capped.weights.sum(), whole.prior)
+    x = capped.directions[:, :1].T
+    capped = capped._replace(vectors=np.ones((40, 1)), directions=capped.directions[:, :1])
+    assert np.allclose(quality.votes(capped, x, k=40), whole.prior)
