@@ -11,9 +11,10 @@ for the source is added, and a document is emitted once for every integer that i
 the sum crosses. So it is taken floor or ceiling of its expectation times, and the source's words
 differ from its target by about its largest document at most.
 
-The line is never one task's: it is cut into chunks by size class and, where a class of a source
-has more rows than ``chunk_rows``, by a hash of the id. A document's place is its place in its
-chunk plus the rows of the chunks before it, which a running sum over the table of chunks gives.
+The line, by size class, size and hash of the id, is never one task's: it is cut into chunks by size
+and, where a size of a source has more rows than ``chunk_rows``, by the first digits of the hash, so
+that cuts change no place. A document's place is its place in its chunk plus the rows of the chunks
+before it, which a running sum over the table of chunks gives.
 
 Null texts and texts without words have size 0 and take 0 words. Null sources are one source. Rows
 with equal ids are rows of their own; ties in every column are interchangeable. An empty table
@@ -71,16 +72,16 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         (F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")).alias("_class"),
         F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")).alias("_hash"),
     )
-    largest = line.groupBy("_key", "_class").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    largest = line.groupBy("_key", "_size").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     width = 0
     while largest > chunk_rows * 16**width:
         width += 1
     line = line.withColumn("_part", F.substring("_hash", 1, width))
-    chunk = ["_key", "_class", "_part"]
-    before = W.partitionBy("_key").orderBy("_class", "_part").rowsBetween(W.unboundedPreceding, -1)
+    chunk = ["_key", "_class", "_size", "_part"]
+    before = W.partitionBy("_key").orderBy("_class", "_size", "_part").rowsBetween(W.unboundedPreceding, -1)
     chunks = line.groupBy(*chunk).agg(F.count(F.lit(1)).alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     chunks = chunks.join(targets(sized, weights, factor, most, seed), "_key")
-    placed = line.withColumn("_place", F.row_number().over(W.partitionBy(*chunk).orderBy("_size", "_hash", "_mark"))).join(chunks, chunk)
+    placed = line.withColumn("_place", F.row_number().over(W.partitionBy(*chunk).orderBy("_hash", "_mark"))).join(chunks, chunk)
     to = F.col("_before") + F.col("_place")
     crossed = F.floor(to * F.col("rate") + F.col("offset")) - F.floor((to - 1) * F.col("rate") + F.col("offset"))
     return placed.select("_id", "_size", "_key", "_mark", "source_size", "target", crossed.cast("long").alias("copies"))

@@ -70,3 +70,9 @@ def test_empty(spark):
     assert mixing.mix(docs).count() == 0
     none = spark.createDataFrame([(1, None, None), (2, "", "a")], docs.schema)
     assert [(r._size, r.target, r.copies) for r in mixing.plan(none).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_cuts_change_nothing(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 13 + i % 2 * 20), "ab"[i % 3 == 0]) for i in range(500)], "doc_id long, text string, source string")
+    taken = lambda n: sorted((r._id, r.copies) for r in mixing.plan(docs, chunk_rows=n).collect())
+    assert taken(3) == taken(40) == taken(mixing.CHUNK_ROWS)
