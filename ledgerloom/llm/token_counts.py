@@ -138,10 +138,16 @@ class Rollup:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after all documents have been inserted by a batch that is sent twice."""
-    rollup = Rollup(spark, shared_path(spark, "token-counts"))
-    changes = inserts(counted(table(spark, sf_dir, "documents")))
-    rollup.commit("documents", changes)
-    rollup.commit("documents", changes)
+    """Totals after all documents have been inserted, revised and revised back, deleted and inserted again, by batches that are sent twice."""
+    rollup, path = Rollup(spark, shared_path(spark, "token-counts")), shared_path(spark, "counted")
+    docs = table(spark, sf_dir, "documents")
+    for name, rows in (("old", docs), ("new", docs.withColumn("text", F.concat("text", F.lit("\n"), F.upper("text"))))):
+        counted(rows).write.parquet(f"{path}/{name}")
+    old, new = (spark.read.schema("doc_id long, " + _DELTA.replace("n_docs long, ", "")).parquet(f"{path}/{name}") for name in ("old", "new"))
+    for batch_id, changes in (("documents", inserts(old)), ("revised", revisions(old, new)), ("restored", revisions(new, old)), ("deleted", deletes(old)), ("again", inserts(old))):
+        rollup.commit(batch_id, changes)
+        rollup.commit(batch_id, changes)
+        if batch_id == "revised":
+            rollup.fold()
     rollup.fold()
     return rollup.totals()

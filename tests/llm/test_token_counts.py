@@ -59,3 +59,18 @@ def test_a_batch_sent_by_several_writers_counts_once(spark, tmp_path):
         done = list(pool.map(lambda _: tc.Rollup(spark, f"file://{tmp_path}").commit("same", tc.inserts(tc.counted(docs))), range(3)))
     assert sorted(done) == [False, False, True]
     assert got(tc.Rollup(spark, f"file://{tmp_path}")) == totals(ROWS)
+
+
+def test_the_query_commits_signed_batches_over_all_documents(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(ROWS, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    sums, commit = {}, tc.Rollup.commit
+
+    def seen(self, batch_id, changes):
+        sums.setdefault(batch_id, changes.groupBy().sum("n_docs", "n_tokens").first()[:])
+        return commit(self, batch_id, changes)
+
+    monkeypatch.setattr(tc.Rollup, "commit", seen)
+    rows = {(r.source, r.lang): (r.n_docs, r.n_tokens, r.n_bytes) for r in tc.op9_token_counts(spark, str(tmp_path)).collect()}
+    assert rows == totals(ROWS)
+    assert sums["documents"][0] == len(ROWS) and sums["deleted"] == tuple(-x for x in sums["documents"]) and sums["again"] == sums["documents"]
+    assert sums["revised"][0] == 0 < sums["revised"][1] == -sums["restored"][1]
