@@ -17,6 +17,7 @@ from ledgerloom.operators import v0, v1, v2, v3, v4, v5
 from ledgerloom.plans.diagnose import distinct
 from ledgerloom.plans.summary import machine_summaries
 from ledgerloom.sources.artifacts import Relations, references, strings
+from ledgerloom.sources.shared import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -612,13 +613,13 @@ def ext_stale_closure(t):
     """An extension, no rule: records that are stale or depend on a stale one over any number of hops.
 
     A frontier of newly reached records is joined with the dependencies until it is empty; the number
-    of jobs is the depth of the dependencies.
+    of jobs is the depth of the dependencies. What a round leaves is a checkpoint, so plans do not grow.
     """
     record = _tree(t)
-    edges = record.select("doc_id", F.explode("depends_on").alias("on")).select("doc_id", F.regexp_replace("on", "record:d", "").cast("long").alias("on")).persist()
-    reached = record.where("status.staleness = 'stale'").select("doc_id").persist()
-    frontier = reached
+    edges = cut(record.select("doc_id", F.explode("depends_on").alias("on")).select("doc_id", F.regexp_replace("on", "record:d", "").cast("long").alias("on")))
+    reached = frontier = cut(record.where("status.staleness = 'stale'").select("doc_id").distinct())
     while not frontier.isEmpty():
-        frontier = edges.join(frontier.select(F.col("doc_id").alias("on")), "on", "left_semi").select("doc_id").distinct().join(reached, "doc_id", "left_anti").persist()
-        reached = reached.unionByName(frontier).persist()
+        next_ = edges.join(frontier.select(F.col("doc_id").alias("on")), "on", "left_semi").select("doc_id").distinct()
+        frontier = cut(next_.join(reached, "doc_id", "left_anti"))
+        reached = cut(reached.unionByName(frontier))
     return reached.where("doc_id > 0").select(F.concat(F.lit("record:d"), "doc_id").alias("target"))
