@@ -1,5 +1,6 @@
 """The encoder against the library: ids, spans, decoded texts, and a real character map."""
 
+import hashlib
 import random
 
 import pytest
@@ -22,35 +23,45 @@ def _texts(n: int = 300) -> list[str]:
     return ODD + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(n)]
 
 
-def test_ids_spans_and_decoding_equal_the_library(model):
+@pytest.mark.parametrize("table_bytes", [5_000, pieces.TABLE_BYTES])
+def test_ids_spans_and_decoding_equal_the_library(model, table_bytes):
     lib = sentencepiece.SentencePieceProcessor(model_proto=model)
-    encoder = pieces.Encoder(model, table_units=50)
+    encoder = pieces.Encoder(model, table_bytes)
     texts = _texts()
-    for text, (e, joined) in zip(texts, encoder.encode(texts)):
-        assert e.ids.tolist() == lib.encode(text)
-        assert joined == ",".join(map(str, e.ids.tolist()))
-        assert encoder.decode(e.ids) == lib.decode(e.ids.tolist())
-        spans = [dict(pieces.fields(v)) for k, v in pieces.fields(lib.encode(text, out_type="serialized_proto")) if k == 2]
-        assert list(zip(e.begins.tolist(), e.ends.tolist())) == [(s.get(4, 0), s.get(5, 0)) for s in spans], text
-
-
-def test_the_general_normaliser_gives_the_spans_of_the_straight_way(model):
-    straight, general = pieces.Encoder(model), pieces.Encoder(model)
-    general.trivial = False
-    for (a, _), (b, _) in zip(straight.encode(_texts(50)), general.encode(_texts(50))):
-        assert [x.tolist() for x in a] == [x.tolist() for x in b]
+    for at in range(0, len(texts), 40):
+        part = texts[at : at + 40]
+        for text, e in zip(part, encoder.encode([t.encode() for t in part])):
+            assert e.ids.tolist() == lib.encode(text)
+            assert encoder.decode(e.ids) == lib.decode(e.ids.tolist())
+            spans = [dict(pieces.fields(v)) for k, v in pieces.fields(lib.encode(text, out_type="serialized_proto")) if k == 2]
+            assert list(zip(e.begins.tolist(), e.ends.tolist())) == [(s.get(4, 0), s.get(5, 0)) for s in spans], text
+    assert encoder.held <= table_bytes // 2 + 40 * 30 * 230 and max(map(len, encoder.known)) <= pieces.LONGEST_UNIT
 
 
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf"])
-def test_longest_prefixes_of_a_compiled_map(model, rule):
+@pytest.mark.parametrize("squeeze, prefix", [(True, False), (False, False), (True, True), (False, True)])
+def test_longest_prefixes_of_a_compiled_map(model, rule, squeeze, prefix):
     lib = sentencepiece.SentencePieceNormalizer(rule_name=rule)
     spec = next(v for k, v in pieces.fields(lib.serialized_model_proto()) if k == 3)
-    blob = dict(pieces.fields(spec))[2]
     encoder = pieces.Encoder(model)
-    encoder.map, encoder.prefix, encoder.squeeze = pieces.CharMap(blob), False, True
-    plain = sentencepiece.SentencePieceNormalizer(rule_name=rule, remove_extra_whitespaces=True, escape_whitespaces=True, add_dummy_prefix=False)
+    encoder.set_map(pieces.CharMap(dict(pieces.fields(spec))[2]))
+    encoder.prefix, encoder.squeeze = prefix, squeeze
+    plain = sentencepiece.SentencePieceNormalizer(rule_name=rule, remove_extra_whitespaces=squeeze, escape_whitespaces=True, add_dummy_prefix=prefix)
     for text in _texts(100):
-        assert encoder.normalise(text.encode())[0].decode() == plain.normalize(text), text
+        made, source = encoder.normalise(text.encode())
+        assert made.replace(b"\xff", "▁".encode()).decode() == plain.normalize(text), text
+        assert len(source) == len(made) + 1 and (source[1:] >= source[:-1]).all() and source[-1] <= len(text.encode())
+
+
+def test_very_long_texts(spark, model):
+    lib = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = ["wörd der " * 60_000, "日" * 30_000, "x" * 50_000 + " y"]
+    got = {r.doc_id: r for r in pieces.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        ids = lib.encode(text)
+        assert got[i].n_tokens == len(ids) and got[i].source_bytes == len(text.encode())
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
 
 
 def test_decoding_broken_byte_runs(model):
@@ -63,7 +74,7 @@ def test_decoding_broken_byte_runs(model):
 
 
 def test_rows(spark):
-    rows = [(1, "a b", "x"), (None, "c", "y"), (2, None, None), (2, None, None), (3, "", "z")]
+    rows = [(1, "a b", "x"), (None, "c", "y"), (2, None, None), (2, None, None), (3, "", "z")]  # a column of a clashing name beside
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     e = {(r.doc_id, tuple(r.ids)) for r in pieces.encode(docs).collect()}
     assert (2, ()) in e and (3, ()) in e and len(e) == 4
