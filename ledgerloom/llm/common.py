@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,29 +16,12 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.shared import checkpoint_dir, cut, shared_path  # noqa: F401
+
 #: A word: a run of characters other than space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; one of our own only where the session names none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-ckpt-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Run ``df`` now and go on from its reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder for a table that an operator writes."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a written table through Hadoop's file system, wherever the shared folder is."""
     jvm = spark._jvm
@@ -70,6 +51,13 @@ def n_words(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a table of its own in the shared folder, and its path."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
