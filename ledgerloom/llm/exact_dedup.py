@@ -10,9 +10,12 @@
    distinct content exceeds ``table_bytes`` is dealt again by another, independent hash, until
    every bucket fits. The recursion works on hashes and sizes alone, in DataFrames; the content
    moves once, to its final bucket. Several copies of one content count once, since a table holds
-   one of them, so a bucket that cannot be split further holds a single text.
+   one of them, so a bucket that cannot be split further holds a single text. There are as many
+   partitions as buckets, up to ``MOST_PARTITIONS``, so a task's share does not grow with the input.
 3. *Build*: bucket after bucket, a task streams the content into the open-addressing table and
-   compares complete content; a hash alone never makes two texts equal.
+   compares complete content; a hash alone never makes two texts equal. Buckets that the last
+   level leaves too full, which independent hashes make next to impossible, are grouped by their
+   complete content in Spark, which sorts and spills instead.
 4. The rows of step 1 learn their group's result by a join on the local group's key. Its keys have
    at most as many rows as one table of one task, so no key is hot.
 
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,11 +41,13 @@ from pyspark.sql import types as T
 from ledgerloom.llm.common import cut, drop_path, shared_path, table, trimmed
 
 FOLD_BYTES = 48 << 20
-TABLE_BYTES = 96 << 20
+TABLE_BYTES = 32 << 20
 LEVELS = 4
+MOST_PARTITIONS = 50_000
 FAN = 64
 BROADCAST_BUCKETS = 100_000
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _HASHES = [f"h{i}" for i in range(LEVELS)]
 _FOLDED = "row_key long, id long, group_key long, sha string, n_bytes long, n long, " + ", ".join(f"{h} long" for h in _HASHES)
 _FOLDED_PA = pa.schema([("row_key", pa.int64()), ("id", pa.int64()), ("group_key", pa.int64()), ("sha", pa.string()), ("n_bytes", pa.int64()), ("n", pa.int64()), *((h, pa.int64()) for h in _HASHES)])
@@ -163,20 +169,29 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from emit()
 
 
-def _levels(heads: DataFrame, table_bytes: int) -> tuple[int, list[DataFrame]]:
-    """Number of first buckets, and for each further level the buckets dealt again."""
+class _Buckets(NamedTuple):
+    first: int  # buckets of the first level
+    over: list[DataFrame]  # for each further level, the buckets dealt again
+    rest: DataFrame | None  # buckets that the last level leaves too full
+    final: int  # all buckets, about
+
+
+def _levels(heads: DataFrame, table_bytes: int, levels: int) -> _Buckets:
     open_ = cut(heads.groupBy(*_HASHES).agg(F.max(F.col("n_bytes") + 200).alias("bytes")))  # one of equal contents counts
-    n = max(1, -(-2 * (open_.agg(F.sum("bytes")).first()[0] or 0) // table_bytes))
+    n = total = max(1, -(-2 * (open_.agg(F.sum("bytes")).first()[0] or 0) // table_bytes))
     open_ = open_.withColumn("bucket", F.pmod(F.col("h0"), F.lit(n)).cast("string"))
     over: list[DataFrame] = []
-    for level in range(1, LEVELS):
+    for level in range(1, levels + 1):
         sizes = open_.groupBy("bucket").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("texts"))
         full = cut(sizes.where((F.col("bytes") > table_bytes) & (F.col("texts") > 1)).select("bucket", F.lit(True).alias("over")))
-        if full.isEmpty():
-            break
+        several = full.count()
+        if not several:
+            return _Buckets(n, over, None, total)
+        if level == levels:
+            return _Buckets(n, over, full.select("bucket"), total)
         over.append(full)
+        total += several * FAN
         open_ = _split(open_.join(full, "bucket"), level)
-    return n, over
 
 
 def _split(rows: DataFrame, level: int) -> DataFrame:
@@ -193,7 +208,15 @@ def _deal(rows: DataFrame, n: int, over: list[DataFrame]) -> DataFrame:
     return rows
 
 
-def _run(docs: DataFrame, id_col: str, text_col: str, carried: bool, fold_bytes: int, table_bytes: int, finish) -> DataFrame:
+def _sorted_out(rows: DataFrame) -> DataFrame:
+    """What ``_build`` gives, by Spark's grouping of the complete content."""
+    rows = rows.select("group_key", "id", "n", F.translate(F.col("content").cast("string"), _UPPER, _UPPER.lower()).alias("low"))
+    best = F.max(F.struct(F.col("id").isNotNull().alias("known"), F.col("id").alias("id"), F.col("group_key").alias("row"))).alias("best")
+    groups = rows.groupBy("low").agg(best, F.sum("n").alias("group_size"))
+    return rows.select("group_key", "low").join(groups, "low").select("group_key", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
+
+
+def _run(docs: DataFrame, id_col: str, text_col: str, carried: bool, fold_bytes: int, table_bytes: int, levels: int, finish) -> DataFrame:
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.struct("*").alias("body") if carried else F.col(text_col).cast("binary").alias("text"))
     schema = T._parse_datatype_string(_FOLDED)
@@ -203,16 +226,18 @@ def _run(docs: DataFrame, id_col: str, text_col: str, carried: bool, fold_bytes:
     spilled = spark.read.schema(schema).parquet(path)
     heads = spilled.where("n is not null")
     text = F.col("body")[text_col] if carried else F.col("body")
-    n, over = _levels(heads.select("n_bytes", *_HASHES), table_bytes)
-    dealt = _deal(heads.select("group_key", "id", "n", text.cast("binary").alias("content"), *_HASHES), n, over)
+    buckets = _levels(heads.select("n_bytes", *_HASHES), table_bytes, levels)
+    dealt = _deal(heads.select("group_key", "id", "n", text.cast("binary").alias("content"), *_HASHES), buckets.first, buckets.over)
     dealt = dealt.select("bucket", "group_key", "id", "n", "content")
-    dealt = dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(trimmed(_build), "group_key long, keep_id long, keep_row long, group_size long")
-    out = finish(spilled, cut(found), path)
-    return out
+    fits = dealt if buckets.rest is None else dealt.join(buckets.rest, "bucket", "left_anti")
+    fits = fits.repartition(min(buckets.final, MOST_PARTITIONS), F.col("bucket")).sortWithinPartitions("bucket")
+    found = fits.mapInArrow(trimmed(_build), "group_key long, keep_id long, keep_row long, group_size long")
+    if buckets.rest is not None:
+        found = found.unionByName(_sorted_out(dealt.join(buckets.rest, "bucket", "left_semi")))
+    return finish(spilled, cut(found), path)
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_bytes: int = FOLD_BYTES, table_bytes: int = TABLE_BYTES) -> DataFrame:
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_bytes: int = FOLD_BYTES, table_bytes: int = TABLE_BYTES, levels: int = LEVELS) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
 
     def finish(spilled: DataFrame, found: DataFrame, path: str) -> DataFrame:
@@ -221,10 +246,10 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         drop_path(docs.sparkSession, path)
         return out
 
-    return _run(docs, id_col, text_col, False, fold_bytes, table_bytes, finish)
+    return _run(docs, id_col, text_col, False, fold_bytes, table_bytes, levels, finish)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_bytes: int = FOLD_BYTES, table_bytes: int = TABLE_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_bytes: int = FOLD_BYTES, table_bytes: int = TABLE_BYTES, levels: int = LEVELS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
     The result reads the written partition files, which stay in the shared folder with it.
@@ -234,7 +259,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold_
         stay = found.where(F.col("group_key") == F.col("keep_row")).select(F.col("keep_row").alias("row_key"))
         return spilled.where("n is not null").select("row_key", "body").join(stay, "row_key").select("body.*")
 
-    return _run(docs, id_col, text_col, True, fold_bytes, table_bytes, finish)
+    return _run(docs, id_col, text_col, True, fold_bytes, table_bytes, levels, finish)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

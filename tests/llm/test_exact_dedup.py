@@ -27,11 +27,11 @@ def made(n=400):
     return ROWS + [(100 + i, rng.choice(["hot text", "t%d" % rng.randrange(60), "T%d" % rng.randrange(60)]) * rng.randrange(1, 4)) for i in range(n)]
 
 
-@pytest.mark.parametrize("fold_bytes, table_bytes", [(exact_dedup.FOLD_BYTES, exact_dedup.TABLE_BYTES), (3000, 1000), (1, 1)])
-def test_equals_brute_force_at_any_table_size(spark, fold_bytes, table_bytes):
+@pytest.mark.parametrize("fold_bytes, table_bytes, levels", [(exact_dedup.FOLD_BYTES, exact_dedup.TABLE_BYTES, exact_dedup.LEVELS), (3000, 20_000, 4), (1, 10_000, 4), (3000, 20_000, 1)])
+def test_equals_brute_force_at_any_table_size(spark, fold_bytes, table_bytes, levels):
     rows = made()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = exact_dedup.assign(docs, fold_bytes=fold_bytes, table_bytes=table_bytes).collect()
+    got = exact_dedup.assign(docs, fold_bytes=fold_bytes, table_bytes=table_bytes, levels=levels).collect()
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=repr) == brute(rows)
     kept = defaultdict(int)
     for r in got:
