@@ -50,7 +50,7 @@ def test_targets_and_bounds(spark, chunk_rows):
         assert abs(n - want[s]) <= 2 * largest[s], s
     assert sorted(map(repr, got)) == sorted(map(repr, plan.collect()))
     again = mixing.plan(docs.repartition(2), chunk_rows=chunk_rows)
-    key = lambda r: repr((r._id, r._size, r._mark, r.copies))
+    key = lambda r: repr((r._id, r._key, r._size, r.copies))
     assert sorted(map(key, got)) == sorted(map(key, again.collect()))
 
 
@@ -76,3 +76,15 @@ def test_cuts_change_nothing(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 13 + i % 2 * 20), "ab"[i % 3 == 0]) for i in range(500)], "doc_id long, text string, source string")
     taken = lambda n: sorted((r._id, r.copies) for r in mixing.plan(docs, chunk_rows=n).collect())
     assert taken(3) == taken(40) == taken(mixing.CHUNK_ROWS)
+
+
+def test_hot_entries_and_rows_that_differ_elsewhere(spark):
+    """A third of all rows are one document, others share id and text and differ in a column that is a map."""
+    data = [(7, "a b c", "s", 1, {"k": 1})] * 200 + [(None, "n%d" % (i % 3), "s", i, None) for i in range(100)] + [(8, "x y", "t", i, {"k": i}) for i in range(100)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, _hash int, `a.b` map<string, int>").repartition(5)
+    for chunk_rows in (mixing.CHUNK_ROWS, 5):
+        plan = mixing.plan(docs, chunk_rows=chunk_rows).collect()
+        assert len(plan) == len(data) and {r.copies for r in plan} <= {0, 1, 2}
+        out = [sorted(map(repr, mixing.mix(d, chunk_rows=chunk_rows).collect())) for d in (docs, docs.repartition(2))]
+        assert out[0] == out[1] and len(out[0]) == sum(r.copies for r in plan)
+        assert set(out[0]) <= set(map(repr, docs.collect()))
