@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -80,6 +81,11 @@ def publish(spark: SparkSession, staged: str, target: str) -> bool:
 
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a directory; none if it does not exist."""
+    return sorted(ages(spark, path))
+
+
+def ages(spark: SparkSession, path: str) -> dict[str, float]:
+    """Names in a directory with the seconds since each was changed; none if it does not exist."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+    return {s.getPath().getName(): time.time() - s.getModificationTime() / 1000 for s in fs.listStatus(p)} if fs.exists(p) else {}

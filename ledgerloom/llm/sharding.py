@@ -2,16 +2,20 @@
 
 A store is a directory with ``data/<name>/*.parquet``, immutable shards, and ``manifests/<version>``,
 tables of one row a shard: path (below the store), bytes, n_rows, tier. Its state is its highest
-version. A writer stages everything under names of its own and then moves a new manifest to the next
-version in one step that fails if the version exists; so readers see a whole version or the one
-before, a lost executor or driver leaves the state as it was, and of two writers one starts again.
+version. A writer stages everything under names of its own, moves the finished data below ``data`` and then a new
+manifest to the next version, in one step that fails if the version exists; so readers see a whole version
+or the one before, a lost executor or driver leaves the state as it was, and of two writers one starts again.
 
 *Append* writes arrivals as small shards, of ``arrival_rows`` rows at most, without a shuffle.
 *Compact* sorts shards into tiers by the logarithm of their size (base ``fan``). A tier of ``fan``
 shards or more is read as one run of similarly sized shards and written as target-sized files,
 again without a shuffle: scan partitions are put together, rows stay where they are. A shard of
 half the target or more is final. Each row is rewritten about once a tier, log_fan(target / arrival)
-times at most. *Vacuum* deletes data that no manifest from a given version on names.
+times at most. *Vacuum* deletes manifests before a given version, data that was finished longer ago than
+a given age and that no manifest read after the listing names, and what writers staged before that age.
+The age must be more than a writer takes from its data to its manifest; data being written is never listed.
+
+The driver holds one path a shard of what it reads or merges: some 100,000 for 100 TB in shards of 1 GB.
 
 Rows are stored whole with all their columns, nulls, empty and very long texts and repeated rows
 included; no column's name matters, and ids are never looked at. An empty batch adds no shard.
@@ -26,12 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import children, cut, drop_path, publish, shared_path, table
+from ledgerloom.llm.common import ages, children, cut, drop_path, publish, shared_path, table
 
 TARGET_BYTES = 64 << 20
 ARRIVAL_ROWS = 2_000
 FAN = 4
 SMALLEST = 1 << 16
+KEPT_SECONDS = 86_400.0
 
 _MANIFEST = "path string, bytes long, n_rows long, tier int"
 
@@ -87,10 +92,17 @@ class Store:
             drop_path(self.spark, staged)
         return done
 
+    def _finish(self, writer, name: str) -> None:
+        """Stage data and move it to its place."""
+        staged = f"{self.root}/staged/{name}"
+        writer.parquet(staged)
+        if not publish(self.spark, staged, f"{self.root}/data/{name}"):
+            raise FileExistsError(name)
+
     def append(self, batch: DataFrame) -> int:
         """Add a batch's rows as small shards; the new version."""
         name = uuid.uuid4().hex
-        batch.write.option("maxRecordsPerFile", self.arrival_rows).parquet(f"{self.root}/data/{name}")
+        self._finish(batch.write.option("maxRecordsPerFile", self.arrival_rows), name)
         added = cut(self._listed(name))
         while True:
             on = self.version()
@@ -111,21 +123,25 @@ class Store:
                 name = uuid.uuid4().hex
                 paths = [r.path for r in open_.where(F.col("tier") == t.tier).orderBy("path").select("path").collect()]
                 rows = self.spark.read.schema(self.schema).parquet(*(f"{self.root}/{p}" for p in paths))
-                rows.coalesce(max(1, round(t.bytes / self.target_bytes))).write.parquet(f"{self.root}/data/{name}")
+                self._finish(rows.coalesce(max(1, round(t.bytes / self.target_bytes))).write, name)
                 new = new.where((F.col("tier") != t.tier) | (F.col("bytes") * 2 >= self.target_bytes)).unionByName(cut(self._listed(name)).withColumn("tier", F.greatest("tier", F.lit(t.tier + 1))))
             self._commit(new, on)
 
-    def vacuum(self, keep_from: int) -> int:
-        """Delete manifests before ``keep_from`` and data that no later one names; how many directories."""
+    def vacuum(self, keep_from: int, older_than: float = KEPT_SECONDS) -> int:
+        """Delete manifests before ``keep_from``, and data and staged files older than ``older_than`` seconds that no manifest names; how many directories of data."""
+        listed = {d for d, age in ages(self.spark, f"{self.root}/data").items() if age >= older_than}
         used, found = set(), 0
         for v in map(int, children(self.spark, f"{self.root}/manifests")):
             if v < keep_from:
                 drop_path(self.spark, f"{self.root}/manifests/{v:010d}")
             else:
                 used |= {r.d for r in self.manifest(v).select(F.split("path", "/")[1].alias("d")).distinct().collect()}
-        for d in set(children(self.spark, f"{self.root}/data")) - used:
+        for d in listed - used:
             drop_path(self.spark, f"{self.root}/data/{d}")
             found += 1
+        for d, age in ages(self.spark, f"{self.root}/staged").items():
+            if age >= older_than:
+                drop_path(self.spark, f"{self.root}/staged/{d}")
         return found
 
 
@@ -134,7 +150,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = Store(spark, shared_path(spark, "shards"), docs.schema)
     store.append(docs)
-    store.vacuum(store.compact())
+    store.vacuum(store.compact(), older_than=0)  # nobody else writes to this store
     rows = store.located()
     shard = F.dense_rank().over(W.orderBy("path")).cast("long")
     names = store.manifest().select("path", shard.alias("shard"))

@@ -4,9 +4,11 @@ A *change* is an insert (+1 document, +n tokens), a delete (-1, -n) or a revisio
 a document. A batch of changes is summed by source, language and tokenizer version, beginning map
 side, and committed under its id: the sums are staged and moved to ``batches/<id>`` in one step that
 fails if that id has been committed. So a batch that is sent again, by a retry, a lost driver or two
-writers, counts once, and readers see all of it or nothing. Totals are sums of sums. *Fold* replaces
-committed batches by one table of their totals and ids, in the same one-step way, so reading them
-does not grow with the number of batches; a folded id is still known.
+writers, counts once, and readers see all of it or nothing. Totals are sums of sums. *Fold* puts the
+totals and ids of the batches that it has listed into one table, in the same one-step way: what is
+committed meanwhile is in neither, and counts beside it. *Vacuum* empties folded batches of a certain age.
+So the sums that are read do not grow with the number of batches; their names do, and are listed on the
+driver: one a batch, since a folded id is still known.
 
 Counts are exact, from byte-pair merges of whole texts; null texts have no tokens. Sources and
 languages may be null and are groups of their own. Rows are counted as often as they come: ids do
@@ -25,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import children, drop_path, publish, shared_path, table
+from ledgerloom.llm.common import ages, children, drop_path, publish, shared_path, table, trimmed
 
 VERSION = "byte_bpe_50k"
+KEPT_SECONDS = 86_400.0
 GROUP = ["source", "lang", "version"]
 SUMS = ["n_docs", "n_tokens", "n_bytes"]
 _DELTA = "source string, lang string, version string, n_docs long, n_tokens long, n_bytes long"
@@ -60,7 +63,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array([version] * len(texts), pa.string()), tokens, sizes], ["doc_id", "source", "lang", "version", "n_tokens", "n_bytes"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, source string, lang string, version string, n_tokens long, n_bytes long")
+    return rows.mapInArrow(trimmed(run), "doc_id long, source string, lang string, version string, n_tokens long, n_bytes long")
 
 
 def inserts(counts: DataFrame) -> DataFrame:
@@ -114,28 +117,53 @@ class Rollup:
     def batches(self) -> list[str]:
         return children(self.spark, f"{self.root}/batches")
 
-    def totals(self) -> DataFrame:
-        """source, lang, version, n_docs, n_tokens, n_bytes over all committed batches."""
+    def _listed(self) -> tuple[int, set[str], list[str]]:
+        """The last fold, the ids in it, and the committed ones beside it."""
         fold = self._fold()
-        known = {r.id for r in self._folded(fold).collect()}  # one a batch
-        paths = [f"{self.root}/batches/{b}" for b in self.batches() if b not in known]
+        known = {r.id for r in self._folded(fold).collect()}
+        return fold, known, [b for b in self.batches() if b not in known]
+
+    def _total(self, fold: int, beside: list[str]) -> DataFrame:
         rows = self._base(fold)
-        if paths:
-            rows = rows.unionByName(self.spark.read.schema(_DELTA).parquet(*paths))
+        if beside:
+            rows = rows.unionByName(self.spark.read.schema(_DELTA).parquet(*(f"{self.root}/batches/{b}" for b in beside)))
         return self._sums(rows)
 
+    def totals(self) -> DataFrame:
+        """source, lang, version, n_docs, n_tokens, n_bytes over all committed batches."""
+        fold, _, beside = self._listed()
+        return self._total(fold, beside)
+
     def fold(self) -> bool:
         """Keep the totals of all batches as one table; False if another writer has been faster."""
-        fold = self._fold()
-        ids = self.batches()
+        fold, known, beside = self._listed()
         staged = f"{self.root}/staged/{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{staged}/sums")
-        self.spark.createDataFrame([(i,) for i in ids], "id string").coalesce(1).write.parquet(f"{staged}/ids")
+        self._total(fold, beside).write.parquet(f"{staged}/sums")
+        self.spark.createDataFrame([(i,) for i in sorted(known.union(beside))], "id string").coalesce(1).write.parquet(f"{staged}/ids")
         done = publish(self.spark, staged, f"{self.root}/folds/{fold + 1:010d}")
         if not done:
             drop_path(self.spark, staged)
         return done
 
+    def vacuum(self, older_than: float = KEPT_SECONDS) -> int:
+        """Empty the batches of the newest fold older than ``older_than`` seconds, and drop the folds before it and old staged files; how many batches.
+
+        Readers that began on an earlier fold must be done by that age. The empty directories keep the ids known.
+        """
+        old = [int(v) for v, age in ages(self.spark, f"{self.root}/folds").items() if age >= older_than]
+        emptied = 0
+        for b in (r.id for r in self._folded(max(old)).collect()) if old else ():
+            files = children(self.spark, f"{self.root}/batches/{b}")
+            for f in files:
+                drop_path(self.spark, f"{self.root}/batches/{b}/{f}")
+            emptied += bool(files)
+        for v in sorted(old)[:-1]:
+            drop_path(self.spark, f"{self.root}/folds/{v:010d}")
+        for d, age in ages(self.spark, f"{self.root}/staged").items():
+            if age >= older_than:
+                drop_path(self.spark, f"{self.root}/staged/{d}")
+        return emptied
+
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after all documents have been inserted, revised and revised back, deleted and inserted again, by batches that are sent twice."""

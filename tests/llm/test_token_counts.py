@@ -74,3 +74,25 @@ def test_the_query_commits_signed_batches_over_all_documents(spark, tmp_path, mo
     assert rows == totals(ROWS)
     assert sums["documents"][0] == len(ROWS) and sums["deleted"] == tuple(-x for x in sums["documents"]) and sums["again"] == sums["documents"]
     assert sums["revised"][0] == 0 < sums["revised"][1] == -sums["restored"][1]
+
+
+def test_a_batch_that_is_committed_while_a_fold_runs_counts_once(spark, tmp_path, monkeypatch):
+    rollup = tc.Rollup(spark, f"file://{tmp_path}")
+    docs = spark.createDataFrame(ROWS, DOCS)
+    rollup.commit("one", tc.inserts(tc.counted(docs)))
+    total = tc.Rollup._total
+
+    def late(self, fold, beside):
+        out = total(self, fold, beside)
+        tc.Rollup(spark, f"file://{tmp_path}").commit("two", tc.inserts(tc.counted(docs)))
+        return out
+
+    for meanwhile in (True, False):
+        if meanwhile:
+            monkeypatch.setattr(tc.Rollup, "_total", late)
+        assert rollup.fold()
+        monkeypatch.undo()
+        assert got(rollup) == {k: tuple(2 * x for x in v) for k, v in totals(ROWS).items()}
+    assert rollup.vacuum(0) == 2 and got(rollup) == {k: tuple(2 * x for x in v) for k, v in totals(ROWS).items()}
+    assert not rollup.commit("two", tc.inserts(tc.counted(docs))) and rollup.vacuum(0) == 0
+    assert rollup.commit("three", tc.deletes(tc.counted(docs))) and rollup.fold() and got(rollup) == totals(ROWS)
