@@ -17,18 +17,18 @@ from pyspark.sql import functions as F
 #: Rows gathered before whole units are handed on; pairs of indices handed on at once.
 GATHERED, PAIRS = 8192, 20_000
 
-def dealt(rows: DataFrame, key: list[str], n: str, by: str, block: int, major: str | None = None, n_major: str | None = None) -> DataFrame:
-    """``rows``, repeated for each unit they belong to, with ``_unit`` and ``_side``, sorted by unit.
+def dealt(rows: DataFrame, key: list[str], n: str, by: str, block: int, keep: list[str], major: str | None = None, n_major: str | None = None) -> DataFrame:
+    """The columns ``keep`` of ``rows``, repeated for each unit they belong to, with ``_unit``, ``_check`` and ``_side``, sorted by unit.
 
-    ``n`` is the number of rows of the bucket, ``by`` a column whose hash cuts it into blocks.
-    ``major`` marks rows (``n_major`` of the bucket's) that need not meet one another: blocks of
-    them meet blocks of the others only, so a bucket costs its other rows times all its rows.
+    ``n`` is the number of rows of the bucket, null where it is known to be ``block`` at most; ``by`` is a
+    column whose hash cuts it into blocks. ``major`` marks rows (``n_major`` of the bucket's) that need not
+    meet one another: blocks of them meet blocks of the others only, so a bucket costs its other rows times all its rows.
     """
     count = lambda c: F.ceil(c / F.lit(block)).cast("int")
     is_major = F.col(major) if major else F.lit(False)
     majors = F.col(n_major) if n_major else F.lit(0)
     minor_blocks, major_blocks = F.greatest(F.lit(1), count(F.col(n) - majors)), count(majors)
-    out = rows.withColumns({"_a": minor_blocks, "_b": major_blocks, "_major": is_major, "_whole": F.col(n) <= block})
+    out = rows.withColumns({"_a": minor_blocks, "_b": major_blocks, "_major": is_major, "_whole": F.coalesce(F.col(n) <= block, F.lit(True))})
     out = out.withColumn("_mine", F.pmod(F.xxhash64(F.lit(11), by), F.when(F.col("_major"), F.col("_b")).otherwise(F.col("_a"))).cast("int"))
     unit = lambda kind, low, high, side: F.struct(F.lit(kind).alias("kind"), low.cast("int").alias("low"), high.cast("int").alias("high"), side.cast("int").alias("side"))
     mine = F.col("_mine")
@@ -38,11 +38,10 @@ def dealt(rows: DataFrame, key: list[str], n: str, by: str, block: int, major: s
     as_major = F.transform(each(F.col("_a")), lambda k: unit("x", k, mine, F.lit(2)))
     alone = F.array(unit("w", F.lit(0), F.lit(0), F.lit(0)))
     out = out.withColumn("_u", F.explode(F.when(F.col("_whole"), alone).when(F.col("_major"), as_major).otherwise(F.concat(with_minors, with_majors))))
-    name = F.struct(*key, "_u.kind", "_u.low", "_u.high")
-    out = out.withColumns({"_side": F.col("_u.side"), "_name": name}).drop("_a", "_b", "_major", "_whole", "_mine", "_u")
+    name = [*key, "_u.kind", "_u.low", "_u.high"]
     # 128 bits stand for the unit, so that two units are never taken for one
-    out = out.withColumn("_unit", F.concat(F.hex(F.xxhash64("_name")), F.lit("."), F.hex(F.xxhash64(F.lit(7), "_name")))).drop("_name")
-    return out.repartition(F.col("_unit")).sortWithinPartitions("_unit")
+    out = out.select(*keep, F.xxhash64(*name).alias("_unit"), F.xxhash64(F.lit(7), *name).alias("_check"), F.col("_u.side").alias("_side"))
+    return out.repartition(F.col("_unit")).sortWithinPartitions("_unit", "_check")
 
 
 def array_of(rows: pa.Table, name: str) -> pa.Array:
@@ -70,7 +69,8 @@ def units(batches: Iterator[pa.RecordBatch], gathered: int = GATHERED) -> Iterat
         return t.combine_chunks(), starts, t.column("_side").to_numpy()
 
     def codes_of(t: pa.Table) -> np.ndarray:
-        return array_of(t, "_unit").dictionary_encode().indices.to_numpy()
+        a, b = t.column("_unit").to_numpy(), t.column("_check").to_numpy()
+        return np.cumsum(np.concatenate(([False], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
 
     for batch in batches:
         for start in range(0, len(batch), gathered):

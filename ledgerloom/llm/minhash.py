@@ -304,11 +304,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     mixed = held.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("several")).where("several > 1")
     mixed = cut(mixed.select("key", "n", F.col("most.n").alias("n_most"), F.col("most.component").alias("most")))
     left = cut(labelled.join(mixed, "key").select("cls", "key", "component", "n", "n_most", (F.col("component") == F.col("most")).alias("in_most")))
-    how = (["key"], "n", "cls", block, "in_most", "n_most")
+    how = lambda *more: (["key"], "n", "cls", block, ["cls", "key", "component", "n_shingles", "bands", "sketch", *more], "in_most", "n_most")
     sketches = own.select("cls", "n_shingles", "bands", "sketch")
-    active = cut(dealt(left.join(sketches, "cls"), *how).mapInArrow(trimmed(_active(apart)), "cls long, key long").distinct())
+    active = cut(dealt(left.join(sketches, "cls"), *how()).mapInArrow(trimmed(_active(apart)), "cls long, key long").distinct())
     wide = left.join(active, ["cls", "key"]).join(sketches, "cls").join(sets.dropDuplicates(["cls"]), "cls")
-    joined = dealt(wide, *how).mapInArrow(trimmed(_joined(apart)), "a long, b long")
+    joined = dealt(wide, *how("hashes")).mapInArrow(trimmed(_joined(apart)), "a long, b long")
     links = confirmed.unionByName(joined)
     names = own.select("cls", "doc")
     links = links.join(names.select(F.col("cls").alias("a"), F.col("doc").alias("x")), "a").join(names.select(F.col("cls").alias("b"), F.col("doc").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))

@@ -64,3 +64,17 @@ def test_tables_bound_the_probability_to_miss_a_link():
     p = 1 - math.acos(0.93) / math.pi
     for bits in (6, 10, 20):
         assert (1 - p**bits) ** embeddings.tables(0.93, bits) <= embeddings.MISS
+
+
+def test_very_large_and_very_small_doubles(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(40):
+        base = rng.standard_normal(12)
+        for scale in (1.0, 1e200, 1e-200, 1e-307, 1e306):
+            rows.append((base + rng.standard_normal(12) * rng.choice([0.0, 0.2, 0.4])) * scale)
+    scaled = [(i, (v / np.abs(v).max()).tolist(), 1) for i, v in enumerate(rows)]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = embeddings.classes(df).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == brute(scaled)
+    assert max(r.n_links for r in got) >= 3
