@@ -72,11 +72,11 @@ def anchors(cell: DataFrame, record: DataFrame) -> DataFrame:
     anchor = cell.where("cell_type = 'sol:cell/anchor'").withColumn("p", refs.parse_ref(F.col("anchors_record")))
     target = named("cell", "cell_id")
     is_record = F.coalesce(F.col("p.kind") == "record", F.lit(False))
-    vague = diag(anchor.where(~is_record), "V1-03", "invalid_reference", target, "an anchor must name one record")
+    vague = diag(anchor.where(~is_record), "V1-03", "invalid_reference", target, "an anchor must name one record", "a")
     known = record.select("ak", F.col("id").alias("to"))
     gone = anchor.where(is_record).withColumn("to", F.col("p.ident")).join(known, ["ak", "to"], "left_anti")
-    copied = diag(anchor.where("duplicates"), "V1-03", "schema", target, "an anchor repeats what its record holds")
-    return vague.unionByName(diag(gone, "V1-03", "invalid_reference", target, "an anchor's record does not exist")).unionByName(copied)
+    copied = diag(anchor.where("duplicates"), "V1-03", "schema", target, "an anchor repeats what its record holds", "c")
+    return vague.unionByName(diag(gone, "V1-03", "invalid_reference", target, "an anchor's record does not exist", "b")).unionByName(copied)
 
 
 def gates(cell: DataFrame, record: DataFrame) -> DataFrame:
@@ -85,9 +85,9 @@ def gates(cell: DataFrame, record: DataFrame) -> DataFrame:
     gate = gate.withColumn("to", F.when(F.col("p.kind") == "record", F.col("p.ident")))
     known = record.select("ak", F.col("id").alias("to"), F.col("record_type").alias("found_type"), F.lit(True).alias("found"), "filled")
     both = gate.join(known, ["ak", "to"], "left")
-    none = diag(both.where("found IS NULL"), "V1-04", "invalid_reference", named("cell", "cell_id"), "a gate must name an existing decision record")
+    none = diag(both.where("found IS NULL"), "V1-04", "invalid_reference", named("cell", "cell_id"), "a gate must name an existing decision record", "a")
     other = both.where("found AND filled").where(F.coalesce(F.col("found_type") != "sol:record/decision", F.lit(True)))
-    return none.unionByName(diag(other, "V1-04", "invalid_reference", named("cell", "cell_id"), "a gate names a record that is no decision"))
+    return none.unionByName(diag(other, "V1-04", "invalid_reference", named("cell", "cell_id"), "a gate names a record that is no decision", "b"))
 
 
 def bindings(run: DataFrame) -> DataFrame:

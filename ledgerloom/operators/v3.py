@@ -40,31 +40,31 @@ def concordance(record: DataFrame, manifest: DataFrame) -> DataFrame:
     """record(ak, record_id, record_type, method, concordance, has_concordance), manifest(ak, execution)"""
     again = record.where("record_type = 'sol:record/verification' AND method = 'sol:verify/reexecution'")
     target = named("record", "record_id", "None")
-    none = diag(again.where(~F.col("has_concordance")), "V3-04", "broken_provenance", target, "a reexecution has no concordance model")
+    none = diag(again.where(~F.col("has_concordance")), "V3-04", "broken_provenance", target, "a reexecution has no concordance model", "a")
     strict = again.where("has_concordance").join(manifest.where("execution.deterministic").select("ak"), "ak", "left_semi")
     loose = strict.where(~one_of(F.col("concordance.type"), ("exact", "tolerance")))
-    return none.unionByName(diag(loose, "V3-04", "broken_provenance", target, "the concordance does not suit a deterministic artifact"))
+    return none.unionByName(diag(loose, "V3-04", "broken_provenance", target, "the concordance does not suit a deterministic artifact", "b"))
 
 
 def applications(commit: DataFrame, record: DataFrame) -> DataFrame:
     """commit(ak, id, commit_id, changes, applied_proposals), record(ak, id, filled, changes)"""
-    rule = lambda rows, message: diag(rows, "V3-05", "invalid_proposal_application", named("commit", "commit_id"), message)
+    rule = lambda rows, part, message: diag(rows, "V3-05", "invalid_proposal_application", named("commit", "commit_id"), message, part)
     ops = commit.select("ak", "id", "commit_id", "changes", "applied_proposals", F.explode("changes").alias("c")).where("c.op = 'apply_proposal'").withColumn("ref", F.col("c.proposal"))
     ops = ops.withColumn("key", refs.bare_id(F.nullif("ref", F.lit("")), "record"))
     known = lookup(record, proposed="changes").withColumn("found", F.lit(True))
     both = ops.join(known, ["ak", "key"], "left")
-    unknown = rule(both.where("found IS NULL"), "an applied proposal does not exist")
+    unknown = rule(both.where("found IS NULL"), "a", "an applied proposal does not exist")
     there = both.where("found").withColumn("app", F.get(F.filter("applied_proposals", lambda a: a["proposal"].eqNullSafe(F.col("ref"))), F.lit(0)))
     no_review = F.coalesce(F.size("app.accepted_by"), F.lit(0)) <= 0
-    unlinked = rule(there.where(no_review), "an application is linked to no accepting review")
+    unlinked = rule(there.where(no_review), "b", "an application is linked to no accepting review")
     reviews = there.where(~no_review).select("ak", "commit_id", F.explode("app.accepted_by").alias("r")).withColumn("key", refs.bare_id(F.col("r"), "record"))
-    gone = rule(reviews.join(lookup(record), ["ak", "key"], "left_anti"), "an accepting review does not exist")
+    gone = rule(reviews.join(lookup(record), ["ak", "key"], "left_anti"), "c", "an accepting review does not exist")
     wanted = there.select("ak", "id", "commit_id", F.explode("proposed").alias("p")).select("ak", "id", "commit_id", *(F.col(f"p.{k}").alias(k) for k in CHANGE_KEYS))
     made = commit.select("ak", "id", F.explode("changes").alias("c")).where(~equals(F.col("c.op"), "apply_proposal")).select(F.col("ak").alias("ak2"), F.col("id").alias("id2"), *(F.col(f"c.{k}").alias(f"made_{k}") for k in CHANGE_KEYS))
     same = (F.col("ak") == F.col("ak2")) & (F.col("id") == F.col("id2"))
     for k in CHANGE_KEYS:
         same = same & F.col(k).eqNullSafe(F.col(f"made_{k}"))
-    lacking = rule(wanted.join(made, same, "left_anti"), "the commit lacks a change of the proposal")
+    lacking = rule(wanted.join(made, same, "left_anti"), "d", "the commit lacks a change of the proposal")
     return unknown.unionByName(unlinked).unionByName(gone).unionByName(lacking)
 
 

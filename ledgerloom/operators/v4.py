@@ -46,4 +46,4 @@ def operations(capable: DataFrame) -> DataFrame:
     short = ops.where(~F.array_contains("caps", F.col("needed")))
     some = capable.where("size(changes) > 0").where(~F.array_contains("caps", F.lit("commit")))
     target = named("commit", "commit_id")
-    return diag(short, "V4-03", "unauthorized_action", target, F.concat_ws(" ", F.lit("the actor has no capability"), "needed", F.lit("for"), "op")).unionByName(diag(some, "V4-03", "unauthorized_action", target, "the actor may not commit"))
+    return diag(short, "V4-03", "unauthorized_action", target, F.concat_ws(" ", F.lit("the actor has no capability"), "needed", F.lit("for"), "op"), "a").unionByName(diag(some, "V4-03", "unauthorized_action", target, "the actor may not commit", "b"))

@@ -38,9 +38,9 @@ def query(sql: str):
     return register
 
 
-def shown(diagnostics: DataFrame) -> DataFrame:
-    """Diagnostics without messages, whose wording is nobody else's."""
-    return diagnostics.select("ak", "rule_id", "category", "target").distinct()
+def shown(diagnostics: DataFrame, parts: bool = False) -> DataFrame:
+    """Diagnostics without messages, whose wording is nobody else's; with the parts of rules that have several."""
+    return diagnostics.select("ak", "rule_id", *(["part"] if parts else []), "category", "target").distinct()
 
 
 def col(sql: str, name: str | None = None):
@@ -125,6 +125,21 @@ def corrupt_object(t):
     return shown(v1.stored_objects(ref, stored))
 
 
+@query("""
+WITH d AS (SELECT source, doc_id, sha256(text) AS sha, doc_id % 3 AS k FROM documents),
+named AS (SELECT source, k, CASE WHEN k = 2 THEN sha256('y' || doc_id) ELSE sha END AS name, k < 2 OR doc_id % 2 = 0 AS stored, k = 2 AS odd FROM d),
+held AS (SELECT source, name, bool_or(stored AND k > 0) AS reachable, bool_or(stored AND odd) AS odd FROM named GROUP BY 1, 2)
+SELECT source AS ak, CASE WHEN reachable THEN 'V1-07' ELSE 'V1-06' END AS rule_id, CASE WHEN reachable THEN 'corrupt_object' ELSE 'missing_object' END AS category, 'object:sha256:' || name AS target
+FROM held WHERE odd OR NOT reachable
+""")
+def stored_objects(t):
+    """V1-06 and V1-07: every third text lies where it cannot be reached, every third is named after something else, half of them not stored."""
+    docs = t("documents").select(F.col("source").alias("ak"), F.sha2("text", 256).alias("sha"), col("doc_id % 3", "k"), "doc_id").withColumn("digest", F.expr("if(k = 2, sha2('y' || doc_id, 256), sha)"))
+    ref = docs.select("ak", F.col("digest").alias("ident"), F.concat(F.lit("object:sha256:"), "digest").alias("ref"), F.lit("object").alias("kind"))
+    stored = docs.where("k < 2 OR doc_id % 2 = 0").select("ak", "digest", F.lit(True).alias("flat"), col("k > 0", "reachable"), (F.col("digest") == F.col("sha")).alias("valid"))
+    return shown(v1.stored_objects(ref, stored))
+
+
 @query("""
 SELECT DISTINCT source AS ak, 'V0-06' AS rule_id, 'invalid_reference' AS category, 'object:sha256:' || substr(sha256(text), 1, CAST(60 + doc_id % 6 AS BIGINT)) AS target FROM documents WHERE doc_id % 6 < 4
 """)
@@ -186,9 +201,9 @@ def status_vocab(t):
 SELECT o_orderpriority AS ak, 'V1-02' AS rule_id, 'invalid_actor' AS category, 'commit:o' || o_orderkey AS target FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE c_nationkey IS NULL OR c_nationkey >= 20
 """)
 def invalid_actor(t):
-    """V1-02: orders whose customer is no actor; customers of some nations are."""
+    """V1-02: orders whose customer is no actor; customers of some nations are, of each priority that they order with."""
     commit = t("orders").select(F.col("o_orderpriority").alias("ak"), col("'o' || o_orderkey", "commit_id"), col("cast(o_custkey as string)", "author"))
-    actor = t("orders").select(F.col("o_orderpriority").alias("ak")).distinct().crossJoin(F.broadcast(t("nation").where("n_nationkey < 20"))).join(t("customer"), F.col("n_nationkey") == F.col("c_nationkey")).select("ak", F.col("c_custkey").cast("string").alias("id"))
+    actor = t("orders").select(F.col("o_orderpriority").alias("ak"), "o_custkey").distinct().join(t("customer").where("c_nationkey < 20"), F.col("o_custkey") == F.col("c_custkey")).select("ak", F.col("c_custkey").cast("string").alias("id"))
     return shown(v1.authors(commit, actor))
 
 
@@ -229,16 +244,18 @@ def _capable(t):
 
 
 @query("""
-SELECT DISTINCT ak, 'V4-03' AS rule_id, 'unauthorized_action' AS category, 'commit:o' || o_orderkey AS target FROM (
+WITH x AS (
   SELECT c_mktsegment AS ak, o_orderkey, CASE c_nationkey % 3 WHEN 0 THEN ['read', 'create_branch', 'write_cell', 'write_record']
     WHEN 1 THEN ['read', 'create_branch', 'write_cell', 'write_record', 'execute', 'review', 'commit'] ELSE ['read', 'commit', 'apply_proposal'] END AS caps,
     CASE o_orderstatus WHEN 'F' THEN 'write_cell' WHEN 'O' THEN 'apply_proposal' END AS need
   FROM orders JOIN customer ON c_custkey = o_custkey
-) WHERE NOT list_contains(caps, 'commit') OR (need IS NOT NULL AND NOT list_contains(caps, need))
+)
+SELECT ak, 'V4-03' AS rule_id, 'a' AS part, 'unauthorized_action' AS category, 'commit:o' || o_orderkey AS target FROM x WHERE need IS NOT NULL AND NOT list_contains(caps, need)
+UNION ALL SELECT ak, 'V4-03', 'b', 'unauthorized_action', 'commit:o' || o_orderkey FROM x WHERE NOT list_contains(caps, 'commit')
 """)
 def capability(t):
     """V4-03: operations and commits beyond an actor's capabilities."""
-    return shown(v4.operations(_capable(t)[0]))
+    return shown(v4.operations(_capable(t)[0]), parts=True)
 
 
 @query("""
@@ -262,8 +279,9 @@ def self_review(t):
 @query("""
 WITH x AS (SELECT o_orderkey, o_orderstatus, o_orderkey % 8 AS k FROM orders),
 made AS (SELECT l_orderkey, l_partkey, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS f FROM lineitem WHERE l_linestatus = 'O')
-SELECT DISTINCT o_orderstatus AS ak, 'V3-05' AS rule_id, 'invalid_proposal_application' AS category, 'commit:o' || o_orderkey AS target FROM x
-WHERE k IN (0, 1, 2) OR EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o_orderkey AND NOT EXISTS (
+SELECT o_orderstatus AS ak, 'V3-05' AS rule_id, CASE k WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS part, 'invalid_proposal_application' AS category, 'commit:o' || o_orderkey AS target FROM x WHERE k IN (0, 1, 2)
+UNION ALL SELECT o_orderstatus, 'V3-05', 'd', 'invalid_proposal_application', 'commit:o' || o_orderkey FROM x
+WHERE k <> 0 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o_orderkey AND NOT EXISTS (
   SELECT 1 FROM made m WHERE m.l_orderkey = o_orderkey AND m.l_partkey = l.l_partkey AND m.f IS NOT DISTINCT FROM CASE WHEN l.l_returnflag = 'N' THEN NULL ELSE l.l_returnflag END))
 """)
 def proposal_match(t):
@@ -277,32 +295,35 @@ def proposal_match(t):
         col("case o_orderkey % 8 when 1 then array() else array(named_struct('proposal', 'record:p' || o_orderkey, 'accepted_by', if(o_orderkey % 8 = 2, array('record:gone'), array('record:v')))) end", "applied_proposals"))
     proposals = orders.where("o_orderkey % 8 <> 0").select("ak", col("'p' || o_orderkey", "id"), F.lit(True).alias("filled"), F.coalesce("all_", none).alias("changes"))
     review = orders.select("ak").distinct().select("ak", F.lit("v").alias("id"), F.lit(True).alias("filled"), none.alias("changes"))
-    return shown(v3.applications(commit, proposals.unionByName(review)))
+    return shown(v3.applications(commit, proposals.unionByName(review)), parts=True)
 
 
 # -- cells and runs
 
 @query("""
-SELECT DISTINCT source AS ak, 'V1-03' AS rule_id, category, 'cell:d' || doc_id AS target FROM (
-  SELECT d.source, d.doc_id, 'invalid_reference' AS category FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id % 5 = 0 OR l.doc_id IS NULL
-  UNION ALL SELECT source, doc_id, 'schema' FROM documents WHERE lang = 'en')
+SELECT DISTINCT source AS ak, 'V1-03' AS rule_id, part, category, 'cell:d' || doc_id AS target FROM (
+  SELECT source, doc_id, 'a' AS part, 'invalid_reference' AS category FROM documents WHERE doc_id % 5 = 0
+  UNION ALL SELECT d.source, d.doc_id, 'b', 'invalid_reference' FROM documents d WHERE d.doc_id % 5 <> 0
+    AND NOT EXISTS (SELECT 1 FROM labels l JOIN documents e ON e.doc_id = l.doc_id WHERE l.doc_id = d.doc_id AND e.source = d.source AND l.quality IS NOT NULL)
+  UNION ALL SELECT source, doc_id, 'c', 'schema' FROM documents WHERE lang = 'en')
 """)
 def anchors(t):
     """V1-03: anchors of malformed or missing records (labelled documents are records), or with copies."""
     docs = _docs(t)
     cell = docs.select("ak", col("'d' || doc_id", "cell_id"), F.lit("sol:cell/anchor").alias("cell_type"), col("if(doc_id % 5 = 0, 'cell:d', 'record:d') || doc_id", "anchors_record"), col("lang = 'en'", "duplicates"))
-    return shown(v1.anchors(cell, docs.where("quality IS NOT NULL").select("ak", col("'d' || doc_id", "id"))))
+    return shown(v1.anchors(cell, docs.where("quality IS NOT NULL").select("ak", col("'d' || doc_id", "id"))), parts=True)
 
 
 @query("""
-SELECT DISTINCT d.source AS ak, 'V1-04' AS rule_id, 'invalid_reference' AS category, 'cell:d' || d.doc_id AS target FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL OR l.quality = 0
+SELECT DISTINCT d.source AS ak, 'V1-04' AS rule_id, CASE WHEN l.quality IS NULL THEN 'a' ELSE 'b' END AS part, 'invalid_reference' AS category, 'cell:d' || d.doc_id AS target
+FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL OR l.quality = 0
 """)
 def gates(t):
     """V1-04: gates without a decision; labelled documents are records, good ones decisions."""
     docs = _docs(t)
     cell = docs.select("ak", col("'d' || doc_id", "cell_id"), F.lit("sol:cell/gate").alias("cell_type"), col("'record:d' || doc_id", "decision_ref"))
     record = docs.where("quality IS NOT NULL").select("ak", col("'d' || doc_id", "id"), col("if(quality = 1, 'sol:record/decision', 'sol:record/claim')", "record_type"), F.lit(True).alias("filled"))
-    return shown(v1.gates(cell, record))
+    return shown(v1.gates(cell, record), parts=True)
 
 
 @query("""
@@ -342,8 +363,10 @@ def dep_order(t):
 
 
 @query("""
-SELECT DISTINCT o_orderpriority AS ak, 'V2-03' AS rule_id, 'invalid_partial_success' AS category, 'run:o' || o_orderkey AS target FROM orders o
-WHERE o_orderstatus = 'P' AND (NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = o.o_custkey AND e.event_type = 'error') OR EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_linenumber > 4))
+SELECT o_orderpriority AS ak, 'V2-03' AS rule_id, 'a' AS part, 'invalid_partial_success' AS category, 'run:o' || o_orderkey AS target FROM orders o
+WHERE o_orderstatus = 'P' AND NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = o.o_custkey AND e.event_type = 'error')
+UNION ALL SELECT o_orderpriority, 'V2-03', 'b', 'invalid_partial_success', 'run:o' || o_orderkey FROM orders o
+WHERE o_orderstatus = 'P' AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_linenumber > 4)
 """)
 def partial_failure(t):
     """V2-03: pending orders of customers without an error, or with lines beyond the executed four."""
@@ -352,7 +375,7 @@ def partial_failure(t):
     run = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("ak", col("'o' || o_orderkey", "run_id"), col("if(o_orderstatus = 'P', 'partial_success', 'success')", "status"), col("array('cell:l1', 'l2', 'cell:l3', 'cell:l4')", "cells_executed"), "output_bindings")
     errors = t("events").where("event_type = 'error'").select("user_id").distinct()
     record = orders.join(errors, F.col("o_custkey") == F.col("user_id"), "left_semi").select("ak", F.lit("sol:record/failure").alias("record_type"), col("'run:o' || o_orderkey", "run_id"))
-    return shown(v2.partial_success(run, record))
+    return shown(v2.partial_success(run, record), parts=True)
 
 
 @query("""
@@ -488,14 +511,14 @@ def reproducibility(t):
 
 
 @query("""
-SELECT c_mktsegment AS ak, 'V3-04' AS rule_id, 'broken_provenance' AS category, 'record:c' || c_custkey AS target FROM customer WHERE c_nationkey % 4 = 0 OR (c_nationkey % 4 = 1 AND c_mktsegment <> 'BUILDING')
+SELECT c_mktsegment AS ak, 'V3-04' AS rule_id, CASE c_nationkey % 4 WHEN 0 THEN 'a' ELSE 'b' END AS part, 'broken_provenance' AS category, 'record:c' || c_custkey AS target FROM customer WHERE c_nationkey % 4 = 0 OR (c_nationkey % 4 = 1 AND c_mktsegment <> 'BUILDING')
 """)
 def concordance(t):
     """V3-04: reexecutions without a concordance, or with a loose one where all is deterministic."""
     c = t("customer").withColumn("ak", F.col("c_mktsegment"))
     record = c.select("ak", col("'c' || c_custkey", "record_id"), F.lit("sol:record/verification").alias("record_type"), F.lit("sol:verify/reexecution").alias("method"), F.struct(F.expr("case c_nationkey % 4 when 1 then 'statistical' when 2 then 'exact' when 3 then 'tolerance' end").alias("type")).alias("concordance"), col("c_nationkey % 4 <> 0", "has_concordance"))
     manifest = c.select("ak").distinct().select("ak", F.struct((F.col("ak") != "BUILDING").alias("deterministic")).alias("execution"))
-    return shown(v3.concordance(record, manifest))
+    return shown(v3.concordance(record, manifest), parts=True)
 
 
 @query("""

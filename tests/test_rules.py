@@ -1,12 +1,14 @@
 """Every rule on artifacts of our own: one change, and all diagnostics that it must give."""
 
+import copy
+import json
 import os
 
 import pytest
 
 from ledgerloom.plans import corpus, diagnose, report
 from ledgerloom.sources.artifacts import Relations, load
-from tests.artifacts import DATA, DIGEST, OBJECT, base, status, summary, write
+from tests.artifacts import DATA, DIGEST, OBJECT, SUMMARY, base, status, write
 
 CASES: dict[str, tuple] = {}
 
@@ -275,12 +277,12 @@ def renders(a):
 
 @case()
 def summary_as_generated(a):
-    a["renders"]["machine_summary"] = summary(a)
+    a["renders"]["machine_summary"] = copy.deepcopy(SUMMARY)
 
 
 @case(("V5-03", "render:machine_summary"))
 def embellished_summary(a):
-    a["renders"]["machine_summary"] = summary(a)
+    a["renders"]["machine_summary"] = copy.deepcopy(SUMMARY)
     a["renders"]["machine_summary"]["records"][0]["summary"] = "it works very well"
 
 
@@ -359,7 +361,18 @@ def test_reports(spark, root, capsys, tmp_path):
     assert report.main([f"{root}/self_review/artifact.d"]) == 1
     assert capsys.readouterr().out.startswith("V4-02\terror\tunauthorized_action\tcommit:c2\t")
     assert report.main([f"{root}/self_review/artifact.d", "--json", "--out", f"file://{tmp_path}/out"]) == 1
-    assert spark.read.json(f"file://{tmp_path}/out").first().rule_id == "V4-02"
+    row = spark.read.json(f"file://{tmp_path}/out").first()
+    assert row.rule_id == "V4-02" and row.artifact.endswith("/self_review/artifact.d")
+    capsys.readouterr()
+    assert report.main([f"{root}/valid/artifact.d", "--json"]) == 0 and json.loads(capsys.readouterr().out) == []
+    assert report.main([f"{root}/self_review/artifact.d", "--json", "--profile", "strict"]) == 1
+    (one,) = json.loads(capsys.readouterr().out)
+    assert sorted(one) == ["category", "message", "rule_id", "severity", "target"]
+    assert report.main([f"{root}/self_review/artifact.d", f"{root}/renders/artifact.d", "--json"]) == 1
+    several = json.loads(capsys.readouterr().out)
+    assert [(x["artifact"].split("/")[-2], x["rule_id"]) for x in several] == [("renders", "V5-01"), ("renders", "V5-02"), ("self_review", "V4-02")]
+    assert report.main([f"{root}/self_review/artifact.d", f"{root}/renders/artifact.d"]) == 1
+    assert "/renders/artifact.d\tV5-01\terror\t" in capsys.readouterr().out
 
 
 CORPUS = os.environ.get("ARTIFACT_CORPUS")
