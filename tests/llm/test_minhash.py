@@ -99,7 +99,7 @@ def test_pairs_in_blocks_meet_once(spark):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
 
     for major, block in ((None, 16), ("major", 16), (None, 1000)):
-        got = blocks.dealt(rows, ["key"], "n", "id", block, major, "n_major" if major else None).mapInArrow(pairs, "a long, b long")
+        got = blocks.dealt(rows, ["key"], "n", "id", block, ["id"], major, "n_major" if major else None).mapInArrow(pairs, "a long, b long")
         got = defaultdict(int, {(r.a, r.b): r["count"] for r in got.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count")).collect()})
         assert set(got.values()) == {1}
         minor = {i for k, i, m in data if m}
