@@ -39,11 +39,10 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.blocks import array_of, dealt, matrix, pairs_within, units
 from ledgerloom.llm.common import cut, drop_path, shared_path, table, trimmed
 from ledgerloom.llm.components import components
+from ledgerloom.llm.words import parts, words
 
 WORDS, SIMILARITY = 5, (80, 100)
 ROWS, MISS = 6, 1e-6
-#: Words whose hash a task keeps.
-MEMO = 400_000
 BLOCK = 1024
 BROADCAST_IDS = 1_000_000
 
@@ -67,29 +66,16 @@ def _digest(tokens: list[bytes]) -> bytes:
 
 
 class Shingler:
-    """Hash sets of word runs, in one process."""
+    """Hash sets of word runs."""
 
     def __init__(self, words: int):
         self.words = words
-        self.memo: dict[bytes, int] = {}
         self.factors = _mix(np.arange(1, words + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
-    def __call__(self, tokens: list[bytes]) -> np.ndarray:
-        """Sorted distinct 64-bit hashes."""
-        import xxhash
-
-        if not tokens:
-            return np.zeros(0, _U)
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        hashes = []
-        for t in tokens:
-            h = memo.get(t)
-            if h is None:
-                h = memo[t] = xxhash.xxh3_64_intdigest(t)
-            hashes.append(h)
-        h = np.array(hashes, _U)
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """Sorted distinct 64-bit hashes of the runs of a text's words."""
+        if not len(h):
+            return h
         k = min(self.words, len(h))
         n = len(h) - k + 1
         total = np.full(n, _U(k))
@@ -120,23 +106,30 @@ class Sketcher:
         return out
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int, n_bands: int, rows: int) -> DataFrame:
+def _words(texts: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """The words of each text and their hashes; a few texts at a time are held."""
+    for part in parts(texts):
+        w = words([t or b"" for t in part])
+        for text, a, b in zip(part, w.docs, w.docs[1:]):
+            yield (text or b"").lower().split(), w.hashes[a:b]
+
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, n_bands: int, rows: int) -> DataFrame:
     """Per row: doc, n_shingles, digest (of the word sequence), bands, sketch (a byte a coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, sketch = Shingler(words), Sketcher(n_bands * rows)
+        shingle, sketch = Shingler(width), Sketcher(n_bands * rows)
         salt = _mix(np.arange(1, n_bands + 1, dtype=_U))
         for batch in batches:
             sizes, digests, keys, bytes_ = [], [], [], []
-            for text in batch.column(1):
-                tokens = (text.as_py() or b"").lower().split()
+            for tokens, hashes in _words(batch.column(1)):
                 if not tokens:
                     sizes.append(0)
                     digests.append(None)
                     keys.append(None)
                     bytes_.append(None)
                     continue
-                elements = shingle(tokens)
+                elements = shingle(hashes)
                 s = _mix(sketch(elements))
                 key = salt
                 for column in s.reshape(n_bands, rows).T:
@@ -153,19 +146,18 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int, n_bands:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text")).mapInArrow(trimmed(run), "doc long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(cls, hashes): the full sets of the wanted (cls, doc, digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
+        shingle = Shingler(width)
         for batch in batches:
             keys, sets, held = [], [], 0
-            for cls, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                tokens = (text.as_py() or b"").lower().split()
+            for cls, digest, (tokens, words_) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _words(batch.column(2))):
                 if _digest(tokens) != digest:  # another text of the same id
                     continue
                 keys.append(cls)
-                sets.append(shingle(tokens).view(np.int64))
+                sets.append(shingle(words_).view(np.int64))
                 held += len(sets[-1])
                 if held > 1 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "hashes"])

@@ -29,8 +29,7 @@ def test_stages_and_result_equal_brute_force(spark, tables):
     sf_dir, rows = tables
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    terms = quality.Terms()
-    good = [r for r in rows if quality.votes(model, terms((r[1] or "").encode())[None, :].astype(float))[0] >= 0.3]
+    good = [r for r in rows if quality.votes(model, quality.terms([(r[1] or "").encode()]).astype(float))[0] >= 0.3]
     assert 0 < len(good) < len(rows)
     by = defaultdict(list)
     for r in good:
