@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.common import cut, drop_path, shared_path, table, trimmed
 
-FOLD_BYTES = 48 << 20
+FOLD_BYTES = 32 << 20
 TABLE_BYTES = 32 << 20
 LEVELS = 4
 MOST_PARTITIONS = 50_000
@@ -230,7 +230,10 @@ def _run(docs: DataFrame, id_col: str, text_col: str, carried: bool, fold_bytes:
     dealt = _deal(heads.select("group_key", "id", "n", text.cast("binary").alias("content"), *_HASHES), buckets.first, buckets.over)
     dealt = dealt.select("bucket", "group_key", "id", "n", "content")
     fits = dealt if buckets.rest is None else dealt.join(buckets.rest, "bucket", "left_anti")
-    fits = fits.repartition(min(buckets.final, MOST_PARTITIONS), F.col("bucket")).sortWithinPartitions("bucket")
+    partitions = min(buckets.final, MOST_PARTITIONS)
+    # first buckets lie one by one; those dealt again by hash
+    at = F.when(F.contains("bucket", F.lit(".")), F.pmod(F.xxhash64("bucket"), F.lit(partitions))).otherwise(F.pmod(F.col("bucket").try_cast("long"), F.lit(partitions))).cast("int")
+    fits = fits.repartitionById(partitions, at).sortWithinPartitions("bucket")
     found = fits.mapInArrow(trimmed(_build), "group_key long, keep_id long, keep_row long, group_size long")
     if buckets.rest is not None:
         found = found.unionByName(_sorted_out(dealt.join(buckets.rest, "bucket", "left_semi")))
