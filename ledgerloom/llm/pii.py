@@ -1,18 +1,19 @@
 """Format-preserving pseudonyms for personal data, in DataFrame operations only.
 
 Found and validated are card numbers (13 to 19 digits, plain or in groups; Luhn), North American
-phone numbers (those with +1 and brackets whatever their area code and exchange), social security numbers, IPv4 addresses (octets up to 255), dates (year-month-day
-or month/day/year, existing days from 1900-01-01, ``DAYS`` of them) and e-mail addresses. What
-looks like one and is not valid stays as it is.
+phone numbers (those with +1 and brackets whatever their area code and exchange), phone numbers of other countries (+, 9 to 15
+digits), bank accounts (IBAN: country, length, check digits), social security numbers, IPv4 addresses (octets up to 255), dates
+(year-month-day, month/day/year or with an English month, existing days from 1900-01-01, ``DAYS`` of them) and e-mail addresses. What
+looks like one and is not valid stays as it is. IPv6 addresses and dates without a year are not looked for.
 
 Each value is permuted by a keyed Feistel network inside its own format. For numbers the state is
 a pair (l, r) of Z_a x Z_b with a * b valid values; rounds add a keyed hash of one half to the
 other, modulo its size, so every key gives a permutation of the valid values: a card stays a valid
-card with its first digit, a date an existing day, an address four octets. For e-mail addresses the
-halves are strings and a round shifts digits among digits and letters among letters of their case;
-the domain stays. Signs between digits stay where they are. Equal values get equal pseudonyms
-in all documents, whatever signs a card or phone number is written with, and with the key the
-permutation can be undone.
+card with its first digit, a date an existing day, an address four octets, a number abroad keeps its first two digits. For e-mail
+addresses and bank accounts the halves are strings and a round shifts digits among digits and letters among letters of their case;
+the domain and the country stay, check digits are made anew. Signs between digits stay where they are. Equal values get equal pseudonyms
+in all documents, whatever signs a card, an account or phone number is written with, and with the key the
+permutation can be undone: the caller gives the key, and there is none by default.
 
 Null texts stay null with no finds. Ids do not matter: any, repeated or none, and other columns do
 not either. Texts are whole. An empty table gives an empty result.
@@ -25,19 +26,33 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import table
 
+#: The query's key where the session does not set KEY_CONF: for tests, as everybody can read it.
 KEY = "a key of the caller's"
+KEY_CONF = "spark.ledgerloom.pii.key"
 ROUNDS = 8
 #: 250 * 292 days from 1900-01-01.
 DAYS = (250, 292)
 
 _EMAIL = r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-_DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\d/-])"
+_MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+_DAY = r"(?:[12]\d|3[01]|[1-9])"
+_DATE = rf"(?<![\d/.-])(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}/\d{{2}}/\d{{4}})(?![\d/-])|(?<![A-Za-z]){_MONTH} {_DAY}, \d{{4}}(?!\d)|(?<![\d/.-]){_DAY} {_MONTH} \d{{4}}(?!\d)"
+# fixed values: lengths of bank accounts by country
+_IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 "
+    "HR21 HU28 IE22 IL23 IS26 IT27 JO30 KW30 KZ20 LB28 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 "
+    "SA24 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VG24 XK20"
+).split()
+_BY_LENGTH = {n: "|".join(x[:2] for x in _IBAN_LENGTHS if x[2:] == n) for n in sorted({x[2:] for x in _IBAN_LENGTHS})}
+_IBAN_BODIES = "|".join(rf"(?:{codes})\d\d(?: ?[A-Z0-9]{{4}}){{{int(n) // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{int(n) % 4}}}" if int(n) % 4 else "") for n, codes in _BY_LENGTH.items())
+_IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z][A-Z]\d\d)(?:{_IBAN_BODIES})(?![A-Za-z0-9])"
 _IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _PHONE = r"\+1[ .-]?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?:\+1[ .-]?|(?<![\d.+-]))(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\d)|\+1[2-9]\d{2}[2-9]\d{6}(?!\d)"
+_ABROAD = r"(?<![\w+.-])\+[2-9]\d{0,2}(?:[ -]?\(?\d{1,4}\)?){2,5}(?!\d)"
 _CARD = r"(?<![\d.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
-PATTERN = "|".join((_EMAIL, _DATE, _IP, _SSN, _PHONE, _CARD))
-KINDS = ("email", "date", "ip", "ssn", "phone", "card")
+PATTERN = "|".join((_EMAIL, _IBAN, _DATE, _IP, _SSN, _PHONE, _ABROAD, _CARD))
+KINDS = ("email", "date", "ip", "ssn", "phone", "card", "iban")
 
 
 def _hash(key: str, kind: str, turn: Column, x: Column) -> Column:
@@ -70,9 +85,9 @@ def _pad(x: Column, width) -> Column:
     return F.lpad(x.cast("string"), width, "0")
 
 
-def _into(shape: Column, digits: Column) -> Column:
-    """``shape`` with its digits replaced, in order, and everything else where it was."""
-    step = lambda s, c: F.when(c.rlike("^[0-9]$"), F.struct(F.concat(s["out"], F.substring(digits, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at")))
+def _into(shape: Column, digits: Column, slot: str = "^[0-9]$") -> Column:
+    """``shape`` with its digits (what matches ``slot``) replaced, in order, and everything else where it was."""
+    step = lambda s, c: F.when(c.rlike(slot), F.struct(F.concat(s["out"], F.substring(digits, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at")))
     return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step, lambda s: s["out"])
 
 
@@ -117,6 +132,18 @@ def _phone(x: Column, key: str, rounds: int) -> Column:
     return _named(_digits(x), of)
 
 
+def _abroad(x: Column, key: str, rounds: int) -> Column:
+    def of(d: Column) -> Column:
+        n = F.length(d)
+        low = F.floor((n - 2) / 2).cast("int")
+        high = n - 2 - low
+        halves = _permuted(F.substring(d, F.lit(3), low), F.substring(d, low + 3, high), F.pow(F.lit(10), low).cast("long"), F.pow(F.lit(10), high).cast("long"), key, "abroad", rounds)
+        made = _named(halves, lambda s: F.concat(F.substring(d, 1, 2), _pad(s["l"], low), _pad(s["r"], high)))
+        return F.when(n.between(9, 15), _into(x, made))
+
+    return _named(_digits(x), of)
+
+
 def _ssn(x: Column, key: str, rounds: int) -> Column:
     n = lambda a, b: F.substring(x, a, b).cast("long")
     area, group, serial = n(1, 3), n(5, 2), n(8, 4)
@@ -141,11 +168,13 @@ def _date(x: Column, key: str, rounds: int) -> Column:
         n = F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long")
         halves = _permuted(F.floor(n / b), n % b, F.lit(a), F.lit(b), key, "date", rounds)
         to = _named(halves, lambda s: F.date_add(F.lit("1900-01-01").cast("date"), (s["l"] * b + s["r"]).cast("int")))
-        shown = F.when(x.contains("/"), F.date_format(to, "MM/dd/yyyy")).otherwise(F.date_format(to, "yyyy-MM-dd"))
+        shown = F.when(x.contains("/"), F.date_format(to, "MM/dd/yyyy")).when(x.contains(","), F.date_format(to, "MMMM d, yyyy"))
+        shown = shown.when(x.contains(" "), F.date_format(to, "d MMMM yyyy")).otherwise(F.date_format(to, "yyyy-MM-dd"))
         return F.when((n >= 0) & (n < a * b), shown)
 
     iso = F.when(x.contains("/"), F.concat_ws("-", F.substring(x, 7, 4), F.substring(x, 1, 2), F.substring(x, 4, 2))).otherwise(x)
-    return _named(iso.try_cast("date"), of)
+    written = F.try_to_timestamp(F.regexp_replace(x, r"^(\w+) (\d+),", "$2 $1"), F.lit("d MMMM yyyy")).cast("date")
+    return _named(F.when(x.contains(" "), written).otherwise(iso.try_cast("date")), of)
 
 
 def _shifted(text: Column, digest: Column) -> Column:
@@ -160,35 +189,59 @@ def _shifted(text: Column, digest: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), one), ""))
 
 
+def _strings(text: Column, key: str, kind: str, rounds: int) -> Column:
+    """A Feistel network on the halves of a text, which keeps the class of every character."""
+    half = F.floor(F.length(text) / 2).cast("int")
+    state = F.struct(F.substring(text, F.lit(1), half).alias("l"), F.substring(text, half + 1, F.length(text)).alias("r"))
+    digest = lambda i, other: F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), other, F.lit(key)), 256)
+    odd = lambda i: i % 2 == 1
+    turn = lambda s, i: F.struct(
+        F.when(odd(i), _shifted(s["l"], digest(i, s["r"]))).otherwise(s["l"]).alias("l"),
+        F.when(odd(i), s["r"]).otherwise(_shifted(s["r"], digest(i, s["l"]))).alias("r"),
+    )
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state, turn, lambda s: F.concat(s["l"], s["r"]))
+
+
 def _email(x: Column, key: str, rounds: int) -> Column:
-    def of(local: Column) -> Column:
-        half = F.floor(F.length(local) / 2).cast("int")
-        state = F.struct(F.substring(local, F.lit(1), half).alias("l"), F.substring(local, half + 1, F.length(local)).alias("r"))
-        digest = lambda i, other: F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), i.cast("string"), other, F.lit(key)), 256)
-        odd = lambda i: i % 2 == 1
-        turn = lambda s, i: F.struct(
-            F.when(odd(i), _shifted(s["l"], digest(i, s["r"]))).otherwise(s["l"]).alias("l"),
-            F.when(odd(i), s["r"]).otherwise(_shifted(s["r"], digest(i, s["l"]))).alias("r"),
-        )
-        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state, turn, lambda s: F.concat(s["l"], s["r"], F.substring(x, F.length(local) + 1, F.length(x))))
+    return _named(F.substring_index(x, "@", 1), lambda local: F.concat(_strings(local, key, "email", rounds), F.substring(x, F.length(local) + 1, F.length(x))))
+
 
-    return _named(F.substring_index(x, "@", 1), of)
+def _account_check(country: Column, account: Column) -> Column:
+    """The two check digits of a bank account: letters count as 10 to 35, and the whole is 1 modulo 97."""
+    code = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    step = lambda s, c: F.when(c == "", s).otherwise((s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + code(c)) % 97)
+    return _pad(98 - F.aggregate(F.split(F.concat(account, country, F.lit("00")), ""), F.lit(0), step), 2)
+
+
+def _iban(x: Column, key: str, rounds: int) -> Column:
+    def of(whole: Column) -> Column:
+        country, account = F.substring(whole, 1, 2), F.substring(whole, F.lit(5), F.length(whole))
+        valid = F.substring(whole, 3, 2) == _account_check(country, account)
+        made = _named(_strings(account, key, "iban", rounds), lambda m: F.concat(country, _account_check(country, m), m))
+        return F.when(valid, _into(x, made, "^[0-9A-Z]$"))
+
+    return _named(F.regexp_replace(x, " ", ""), of)
 
 
 def _value(x: Column, key: str, rounds: int) -> Column:
     """struct(kind, new): the kind of a valid find and its pseudonym; nulls for others."""
     d = F.length(_digits(x))
     kind = (
-        F.when(x.contains("@"), "email").when(x.rlike(r"^\d+-\d\d-\d\d$") | x.contains("/"), "date").when(x.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip")
-        .when(x.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(d.between(10, 11), "phone").otherwise("card")
+        F.when(x.contains("@"), "email").when(x.rlike("^[A-Z][A-Z]"), "iban").when(x.rlike(r"^\d+-\d\d-\d\d$|/|[a-z]"), "date").when(x.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip")
+        .when(x.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(x.rlike(r"^\+[2-9]"), "abroad").when(d.between(10, 11), "phone").otherwise("card")
     )
-    made = {"email": _email, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
+    made = {"email": _email, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "abroad": _abroad, "card": _card, "iban": _iban}
     new = lambda k: F.coalesce(*(F.when(k == name, f(x, key, rounds)) for name, f in made.items()))
-    return _named(kind, lambda k: F.struct(k.alias("kind"), new(k).alias("new")))
+    return _named(kind, lambda k: F.struct(F.when(k == "abroad", "phone").otherwise(k).alias("kind"), new(k).alias("new")))
+
 
+def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` with ``text_col`` replaced, and a map ``pii_found`` of kind to number of valid finds.
 
-def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with ``text_col`` replaced, and a map ``pii_found`` of kind to number of valid finds."""
+    Whoever has ``key`` can undo it; without one it is a ValueError.
+    """
+    if not key:
+        raise ValueError("pseudonyms need a key of the caller's")
     text = F.col(text_col).cast("string")
     some = text.rlike("[0-9@]")
     finds = F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -202,5 +255,5 @@ def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = KEY, round
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_CONF, KEY))
     return made.select("doc_id", "text", *(F.col("pii_found")[k].cast("long").alias(f"n_{k}") for k in KINDS))

@@ -110,17 +110,17 @@ def test_pseudonyms_equal_a_plain_version_and_stay_valid(spark):
     want = " und ".join(["é"] + [f(v) for v, f in VALID.items()] + INVALID + [f(v) for v, f in VALID.items()]) + "."
     rows = [(1, text, "x"), (1, text, "x"), (None, "call 415-555-2671", "y"), (2, None, "y"), (3, "", "y"), (4, "no finds", "y"), (5, "12 " * 50_000 + "69.81.217.52", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, pii_found string").drop("pii_found").withColumn("_kind", F.lit(1))
-    got = pii.pseudonymised(docs).collect()
+    got = pii.pseudonymised(docs, pii.KEY).collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == len(rows) and by[1].text == want
-    assert by[1].pii_found == {"email": 6, "date": 6, "ip": 4, "ssn": 4, "phone": 8, "card": 8}
+    assert by[1].pii_found == {"email": 6, "date": 6, "ip": 4, "ssn": 4, "phone": 8, "card": 8, "iban": 0}
     assert by[None].text == "call " + phone("415-555-2671") and by[2].text is None and by[3].text == "" and by[4].text == "no finds"
     assert by[5].text == "12 " * 50_000 + ip("69.81.217.52")
     assert sum(by[2].pii_found.values()) == 0
     for v, f in VALID.items():
         assert f(v) != v and re.sub(r"\w", "w", f(v)).replace("ww", "w") == re.sub(r"\w", "w", v).replace("ww", "w") or f is ip
     assert email(email("mmp.98@mail2.example.com"), back=True) == "mmp.98@mail2.example.com"
-    assert pii.pseudonymised(docs.limit(0)).count() == 0
+    assert pii.pseudonymised(docs.limit(0), pii.KEY).count() == 0
 
 
 @pytest.mark.parametrize("a, b", [(3, 5), (10, 7)])
@@ -133,7 +133,7 @@ def test_the_network_permutes_the_whole_domain(spark, a, b):
 def test_bracketed_numbers_outside_the_numbering_plan(spark):
     numbers = ["+1 (017) 555-7713", "+1 (117) 055-7713", "+1(917) 155-0001", "+1 (000) 000-0000", "+1 (212) 555-7713"]
     docs = spark.createDataFrame([(i, f"a {x} b") for i, x in enumerate(numbers)] + [(9, "(017) 555-7713 017-555-7713")], "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.pseudonymised(docs).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymised(docs, pii.KEY).collect()}
     for i, was in enumerate(numbers):
         now = got[i].text[2:-2]
         assert got[i].pii_found["phone"] == 1 and now != was and re.sub(r"\d", "0", now) == re.sub(r"\d", "0", was)
@@ -142,4 +142,58 @@ def test_bracketed_numbers_outside_the_numbering_plan(spark):
         assert kind(a) == kind(b) and b[0] == "1"
     assert got[9].pii_found["phone"] == 0
     many = spark.createDataFrame([(i, f"+1 (017) 555-{i:04d}") for i in range(300)] + [(300 + i, f"+1 (517) 055-{i:04d}") for i in range(300)], "doc_id long, text string")
-    assert len({r.text for r in pii.pseudonymised(many).collect()}) == 600
+    assert len({r.text for r in pii.pseudonymised(many, pii.KEY).collect()}) == 600
+
+
+def shifted_halves(text, kind):
+    """The network on strings, with the plain version of e-mail addresses."""
+    l, r = text[: len(text) // 2], text[len(text) // 2 :]
+    bases = lambda c: next(((ord(b), n) for b, n in (("0", 10), ("a", 26), ("A", 26)) if ord(b) <= ord(c) < ord(b) + n), None)
+    shift = lambda t, d: "".join(chr(b[0] + (ord(c) - b[0] + int(d[2 * k : 2 * k + 2], 16)) % b[1]) if (b := bases(c)) else c for k, c in enumerate(t))
+    for i in range(1, pii.ROUNDS + 1):
+        l, r = (shift(l, h(kind, i, r)), r) if i % 2 else (l, shift(r, h(kind, i, l)))
+    return l + r
+
+
+def iban(x):
+    d = x.replace(" ", "")
+    account = shifted_halves(d[4:], "iban")
+    rest = int("".join(str(int(c, 36)) for c in account + d[:2] + "00")) % 97
+    letters = iter(d[:2] + f"{98 - rest:02d}" + account)
+    return "".join(c if c == " " else next(letters) for c in x)
+
+
+def abroad(x):
+    d = re.sub(r"\D", "", x)
+    low = (len(d) - 2) // 2
+    high = len(d) - 2 - low
+    l, r = numeric(int(d[2 : 2 + low]), int(d[2 + low :]), 10**low, 10**high, "abroad")
+    return into(x, d[:2] + str(l).zfill(low) + str(r).zfill(high))
+
+
+def written(x):
+    day = datetime.datetime.strptime(x, "%B %d, %Y" if "," in x else "%d %B %Y").date()
+    to = datetime.date.fromisoformat(date(day.isoformat()))
+    return f"{to:%B} {to.day}, {to.year}" if "," in x else f"{to.day} {to:%B} {to.year}"
+
+
+ACCOUNTS = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
+ABROAD = ["+44 20 7946 0958", "+442079460958", "+49 30 123456", "+33 (0)1-2345-6789"]
+WRITTEN = ["February 29, 2024", "1 May 1999", "31 December 2020"]
+LEFT = ["DE88 3704 0044 0532 0130 00", "GB82WEST1234569876543", "XX89 3704 0044", "+250 12 34", "February 30, 2024", "31 June 1999", "May 5", "a+44 20 7946 0958"]
+
+
+def test_accounts_numbers_abroad_and_written_dates(spark):
+    text = " | ".join(ACCOUNTS + ABROAD + WRITTEN + LEFT)
+    want = " | ".join([iban(x) for x in ACCOUNTS] + [abroad(x) for x in ABROAD] + [written(x) for x in WRITTEN] + LEFT)
+    row = pii.pseudonymised(spark.createDataFrame([(1, text)], "doc_id long, text string"), pii.KEY).first()
+    assert row.text == want
+    assert row.pii_found == {"email": 0, "date": 3, "ip": 0, "ssn": 0, "phone": 4, "card": 0, "iban": 4}
+    for x in ACCOUNTS:
+        d = iban(x).replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in d[4:] + d[:4])) % 97 == 1 and d[:2] == x[:2] and d != x.replace(" ", "")
+
+
+def test_a_key_is_needed(spark):
+    with pytest.raises(ValueError):
+        pii.pseudonymised(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "")
