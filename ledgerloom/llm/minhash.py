@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.blocks import array_of, dealt, matrix, pairs_within, units
-from ledgerloom.llm.common import cut, drop_path, shared_path, table, trimmed
+from ledgerloom.llm.common import cut, drop_path, shared_path, table, trimmed, unused
 from ledgerloom.llm.components import components
 from ledgerloom.llm.words import parts, words
 
@@ -316,9 +316,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
 
     Up to BROADCAST_IDS ids of dropped documents are broadcast; more are dealt out with the texts.
     """
-    gone = cut(classes(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct())
+    name = unused(docs, "_gone")
+    gone = cut(classes(docs, id_col, text_col, **how).where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct())
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

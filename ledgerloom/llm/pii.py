@@ -15,8 +15,8 @@ the domain and the country stay, check digits are made anew. Signs between digit
 in all documents, whatever signs a card, an account or phone number is written with, and with the key the
 permutation can be undone: the caller gives the key, and there is none by default.
 
-Null texts stay null with no finds. Ids do not matter: any, repeated or none, and other columns do
-not either. Texts are whole. An empty table gives an empty result.
+Null texts stay null with no finds. Ids do not matter: any, repeated or none, and other columns stay,
+whatever they are called; only one called ``pii_found`` gives way to the counts. Texts are whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import table, unused
 
 #: The query's key where the session does not set KEY_CONF: for tests, as everybody can read it.
 KEY = "a key of the caller's"
@@ -245,13 +245,14 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", rounds: int
     text = F.col(text_col).cast("string")
     some = text.rlike("[0-9@]")
     finds = F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = docs.withColumn("__pii_finds", F.transform(finds, lambda x: F.struct(x.alias("was"), _value(x, key, rounds).alias("to"))))
+    listed = unused(docs, "__pii_finds")
+    out = docs.withColumn(listed, F.transform(finds, lambda x: F.struct(x.alias("was"), _value(x, key, rounds).alias("to"))))
     parts = F.split(text, PATTERN, -1)
-    news = F.transform("__pii_finds", lambda f: F.coalesce(f["to"]["new"], f["was"]))
+    news = F.transform(listed, lambda f: F.coalesce(f["to"]["new"], f["was"]))
     rebuilt = F.array_join(F.flatten(F.zip_with(parts, news, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    number = lambda kind: F.size(F.filter("__pii_finds", lambda f: (f["to"]["kind"] == kind) & f["to"]["new"].isNotNull()))
+    number = lambda kind: F.size(F.filter(listed, lambda f: (f["to"]["kind"] == kind) & f["to"]["new"].isNotNull()))
     found = F.create_map(*(x for kind in KINDS for x in (F.lit(kind), number(kind))))
-    return out.withColumn("__pii_found", found).withColumn(text_col, F.when(F.size("__pii_finds") > 0, rebuilt).otherwise(text)).withColumn("pii_found", F.col("__pii_found")).drop("__pii_finds", "__pii_found")
+    return out.withColumns({text_col: F.when(F.size(listed) > 0, rebuilt).otherwise(text), "pii_found": found}).drop(listed)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,3 +107,9 @@ def test_pairs_in_blocks_meet_once(spark):
             for q, j, _ in data:
                 if i < j and k == q and (major is None or i in minor or j in minor):
                     assert (i, j) in got
+
+
+def test_a_column_of_the_copies_name_stays(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text, "a"), (2, text.upper(), "b"), (3, "other words are here", "c"), (None, text, "d")], "doc_id long, text string, _GONE string")
+    assert sorted(map(repr, map(tuple, minhash.dedup(docs).collect()))) == sorted(map(repr, [(1, text, "a"), (3, "other words are here", "c"), (None, text, "d")]))

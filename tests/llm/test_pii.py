@@ -194,6 +194,13 @@ def test_accounts_numbers_abroad_and_written_dates(spark):
         assert int("".join(str(int(c, 36)) for c in d[4:] + d[:4])) % 97 == 1 and d[:2] == x[:2] and d != x.replace(" ", "")
 
 
+def test_columns_of_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "from 69.81.217.52", "a", "b")], "doc_id long, text string, __pii_finds string, __PII_found string")
+    row = pii.pseudonymised(docs, pii.KEY).first().asDict()
+    assert row.pop("pii_found")["ip"] == 1
+    assert row == {"doc_id": 1, "text": "from " + ip("69.81.217.52"), "__pii_finds": "a", "__PII_found": "b"}
+
+
 def test_a_key_is_needed(spark):
     with pytest.raises(ValueError):
         pii.pseudonymised(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "")
