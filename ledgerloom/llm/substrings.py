@@ -18,6 +18,15 @@ its passage, and of sentences at a passage's ends that go on in words of their o
 A passage thus stays if no run lies in it: one with fewer than ``run`` whole sentences that have not
 over ``over`` words. Runs are told apart by 96 bits, words in the exact check by 64.
 
+With ``whole``, as the query has it, no passage stays. Instead of by words beside short stretches, what
+the long ones leave goes by *windows*, every ``over`` + 1 words in a row: one that any earlier document
+has, wherever and however often, is a repeated span. A *gram* is a third of a window, and a window goes by
+the least hash of its grams, the same wherever the window is. Windows in one long stretch need no look: an
+earlier document has them, so they are nobody's first. Of the others the grams that two documents have are
+joined globally, then the windows that go by them, by 96 bits, each to the first document that has it.
+Words in repeated spans that follow one another are a passage; one in which no whole sentence lies loses
+its words alone, and the sentences that they are of count as removed.
+
 Neighbours of a run are known by one byte for each eighth of the words that it lacks, on both
 sides; most short stretches end there. Texts are read again for the others only. Fixed-size bitmaps of
 ``BITS`` bits keep rows that nothing is for out of the joins, or let some of them in, which costs time
@@ -92,6 +101,37 @@ def runs(w: Words, run: int, over: int) -> Runs:
     return Runs(text[begins], first[begins], end[lasts])
 
 
+# -- windows, in vectors
+
+
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """Place of the least of each ``n`` values in a row, the first of equal ones."""
+    at, held = np.arange(len(x)), 1
+    while held < n:
+        more = min(held, n - held)
+        a, b = at[:-more], at[more:]
+        at, held = np.where(x[b] < x[a], b, a), held + more
+    return at
+
+
+class Windows(NamedTuple):
+    text: np.ndarray  # number of the text
+    first: np.ndarray  # first word among those of all texts
+    gram: np.ndarray  # hash that it goes by
+
+
+def windows(w: Words, over: int) -> Windows:
+    size, n = over + 1, (over + 3) // 3
+    starts = max(0, len(w.hashes) - size + 1)
+    text = np.repeat(np.arange(len(w.docs) - 1), np.diff(w.docs))[:starts]
+    first = np.flatnonzero(np.arange(starts) + size <= w.docs[text + 1])
+    if not len(first):
+        return Windows(text[:0], first, np.zeros(0, np.int64))
+    begins = np.arange(len(w.hashes) - n + 1)
+    grams = Sums(w.hashes, 1)(begins, begins + n)
+    return Windows(text[first], first, grams[_least(grams, size - n + 1)[first]].view(np.int64))
+
+
 def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> 6) & (BITS // 64 - 1), h & 63
 
@@ -298,17 +338,90 @@ def _followed(over: int):
     return each
 
 
+def _open(over: int, marks: np.ndarray, texts: list[bytes], spans: pa.Array | None = None) -> pa.RecordBatch:
+    """(h, mark) of the grams that windows outside of the spans go by."""
+    w = words(texts)
+    v = windows(w, over)
+    if spans is not None:
+        count = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        first, n = (spans.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        first = first + np.repeat(w.docs[:-1], count)
+        edges = np.zeros(len(w.hashes) + 1, np.int64)
+        np.add.at(edges, first, 1)
+        np.add.at(edges, first + n - over, -1)
+        v = Windows(*(x[np.cumsum(edges)[v.first] == 0] for x in v))
+    new = np.concatenate(([True], (v.gram[1:] != v.gram[:-1]) | (v.text[1:] != v.text[:-1])))[: len(v.gram)]
+    return pa.RecordBatch.from_arrays([pa.array(v.gram[new]), pa.array(marks[v.text[new]])], ["h", "mark"])
+
+
+def _open_untouched(over: int, bitmap):
+    """Of (id, text): the open grams of rows whose bit is not set."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts in _chunks(batch):
+                texts = [t or b"" for t in texts]
+                marks = _marks(ids, texts)
+                of = np.flatnonzero(~_is_in(bitmap.value, marks))
+                if len(of):
+                    yield _open(over, marks[of], [texts[k] for k in of])
+
+    return each
+
+
+def _open_touched(over: int):
+    """Of (mark, text, spans): the open grams."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for marks, texts in _chunks(batch):
+                yield _open(over, np.array(marks, np.int64), [t or b"" for t in texts], batch.column(2).slice(at, len(texts)))
+                at += len(texts)
+
+    return each
+
+
+def _listed(over: int, bitmap):
+    """Each text's different windows that go by a gram whose bit is set."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts in _chunks(batch):
+                texts = [t or b"" for t in texts]
+                w = words(texts)
+                v = windows(w, over)
+                keep = _is_in(bitmap.value, v.gram)
+                text, first = v.text[keep], v.first[keep]
+                h = Sums(w.hashes, 0)(first, first + over + 1).view(np.int64)
+                order = np.lexsort((h, text))
+                text, first, h = text[order], first[order], h[order]
+                new = np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])))[: len(h)]
+                text, first, h = text[new], first[new], h[new]
+                h2 = (Sums(w.hashes, 1)(first, first + over + 1) >> _U(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), *_whose(ids, _marks(ids, texts), text)], ["h", "h2", *_OF])
+
+    return each
+
+
 # -- the operator
 
 
-def covered_sentences(counts: list[int], spans: list[tuple[int, int]]) -> list[int]:
-    """Sentences, of so many words, all of whose words are in spans (first word, number)."""
-    total = sum(counts)
+def _inside(total: int, spans: np.ndarray) -> np.ndarray:
+    """Whether each of so many words is in one of the spans (first word, number)."""
     edges = np.zeros(total + 1, np.int64)
-    first, n = np.array(spans, np.int64).T
+    first, n = spans.T
     np.add.at(edges, first, 1)
     np.add.at(edges, first + n, -1)
-    inside = np.cumsum(edges)[:total] > 0
+    return np.cumsum(edges)[:total] > 0
+
+
+def covered_sentences(counts: list[int], spans: list[tuple[int, int]]) -> list[int]:
+    """Sentences, of so many words, all of whose words are in spans (first word, number)."""
+    return _all_inside(counts, _inside(sum(counts), np.array(spans, np.int64)))
+
+
+def _all_inside(counts: list[int], inside: np.ndarray) -> list[int]:
     out, at = [], 0
     for i, k in enumerate(counts):
         # without words of its own, a piece goes with the words beside it
@@ -319,6 +432,35 @@ def covered_sentences(counts: list[int], spans: list[tuple[int, int]]) -> list[i
     return out
 
 
+_WORD = re.compile(rb"\S+\s*")
+
+
+def _shortened(parts: list[bytes], spans: np.ndarray) -> tuple[list[bytes], int]:
+    """Sentences without the passages, and how many of them lose words."""
+    counts = [len(p.split()) for p in parts]
+    inside = _inside(sum(counts), spans)
+    covered = set(_all_inside(counts, inside))
+    begins = np.cumsum([0, *counts])
+    gone = np.zeros(len(inside), bool)
+    for i in covered:
+        gone[begins[i] : begins[i + 1]] = True
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], inside.astype(np.int8), [0]))))
+    for a, b in zip(edges[::2], edges[1::2]):
+        if not gone[a:b].any():
+            gone[a:b] = True
+    out, n = [], len(covered)
+    for i, p in enumerate(parts):
+        here = gone[begins[i] : begins[i + 1]]
+        if i in covered:
+            continue
+        if here.any():
+            found = list(_WORD.finditer(p))
+            p = p[: found[0].start()] + b"".join([m[0] for m, g in zip(found, here) if not g])
+            n += 1
+        out.append(p)
+    return out, n
+
+
 _OUT = "id long, text string, n_sentences long, n_removed long"
 
 
@@ -368,8 +510,45 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _cleaned(ids[at : at + 500], rows)
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, over: int = OVER) -> DataFrame:
-    """Per row of ``docs``: id, text without the sentences of repeated passages, n_sentences, n_removed."""
+def _without_all(over: int):
+    """Of (id, text, spans, windows): rows without the passages that spans and windows make."""
+
+    def found(texts: list[bytes], hashes: list[np.ndarray]) -> list[np.ndarray]:
+        """Spans of the windows of each text that are among its hashes."""
+        w = words(texts)
+        v = windows(w, over)
+        h = Sums(w.hashes, 0)(v.first, v.first + over + 1).view(np.int64)
+        at = np.searchsorted(v.text, np.arange(len(texts) + 1))
+        firsts = [v.first[a:b][np.isin(h[a:b], mine)] - low for a, b, mine, low in zip(at, at[1:], hashes, w.docs)]
+        return [np.stack([f, np.full(len(f), over + 1)], 1) for f in firsts]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for ids, raw in _chunks(batch):
+                spans, hashes = (batch.column(k).slice(at, len(ids)) for k in (2, 3))
+                at += len(ids)
+                spans = [np.array([(p["first"], p["n"]) for p in s.as_py() or ()], np.int64).reshape(-1, 2) for s in spans]
+                of = [k for k in range(len(ids)) if hashes[k].is_valid]
+                for k, more in zip(of, found([raw[k] or b"" for k in of], [hashes[k].values.to_numpy() for k in of])):
+                    spans[k] = np.concatenate([spans[k], more])
+                texts, total, gone = [], [], []
+                for t, s in zip(raw, spans):
+                    parts = sentences(t) if t else []
+                    left, n = _shortened(parts, s) if len(s) else (parts, 0)
+                    texts.append(b"".join(left) if n else t)
+                    total.append(len(parts))
+                    gone.append(n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["id", "text", "n_sentences", "n_removed"])
+
+    return each
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, over: int = OVER, whole: bool = False) -> DataFrame:
+    """Per row of ``docs``: id, text without the sentences of repeated passages, n_sentences, n_removed.
+
+    With ``whole`` of all repeated passages, else of those in which runs lie.
+    """
     if run < 1 or over < 1:
         raise ValueError("a run has 1 sentence at least, a passage over 1 word")
     spark, paths = docs.sparkSession, []
@@ -395,26 +574,46 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
     later = found.join(firsts, key).where(who > earlier).select(*_OF, "first", "n", "before", "after", *its, "first_before", "first_after", "first_place")
     sorted_ = later.repartition("doc", "mark").sortWithinPartitions(*_OF, "first", "n")
     told = kept(sorted_.mapInArrow(trimmed(_stretches(over)), _STRETCHES), "stretches")
+    sure = told.where("sure").select(*_OF, "first", "n")
+    spans = F.collect_set(F.struct("first", "n")).alias("spans")
+    touched_row = "id long, text binary, none boolean, doc long, mark long"
+
+    if whole:
+        long_ = kept(sure.groupBy(*_OF).agg(spans), "long")
+        bitmap = _bitmap(long_, "mark")
+        grams = texts.mapInArrow(trimmed(_touched(bitmap)), touched_row).join(long_, list(_OF), "left").select("mark", "text", "spans").mapInArrow(trimmed(_open_touched(over)), "h long, mark long")
+        grams = grams.unionByName(texts.mapInArrow(trimmed(_open_untouched(over, bitmap)), "h long, mark long"))
+        grams = kept(grams.groupBy("h").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("h"), "grams")
+        listed = kept(texts.mapInArrow(trimmed(_listed(over, _bitmap(grams, "h"))), "h long, h2 int, none boolean, doc long, mark long"), "windows")
+        least = kept(listed.groupBy("h", "h2").agg(F.min(who).alias("least"), F.max(who).alias("most")).where("least < most").drop("most"), "least")
+        had = listed.join(least, ["h", "h2"]).where(who > F.col("least")).groupBy(*_OF).agg(F.collect_set("h").alias("windows"))
+        covered = kept(long_.join(had, list(_OF), "full"), "covered")
+        bitmap = _bitmap(covered, "mark")
+        for path in paths[:-1]:
+            drop_path(spark, path)
+        touched = texts.mapInArrow(trimmed(_touched(bitmap)), touched_row)
+        touched = touched.join(covered, list(_OF), "left").select("id", "text", "spans", "windows").mapInArrow(trimmed(_without_all(over)), _OUT)
+        return touched.unionByName(texts.mapInArrow(trimmed(_untouched(bitmap)), _OUT)).withColumnsRenamed({"id": id_col, "text": text_col})
+
     # the exact check of what is left
     open_ = told.where("not sure")
     there = [F.col(c).alias(d) for c, d in zip((*its, "first_place"), (*_OF, "first"))]
     asked = open_.select(*_OF, "first", "n").unionByName(open_.select(*there, "n")).distinct().groupBy(*_OF).agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     asked = kept(asked, "asked")
-    some = texts.mapInArrow(trimmed(_touched(_bitmap(asked, "mark"))), "id long, text binary, none boolean, doc long, mark long")
+    some = texts.mapInArrow(trimmed(_touched(_bitmap(asked, "mark"))), touched_row)
     beside = some.join(asked, list(_OF)).dropDuplicates(list(_OF)).select("text", *_OF, "spans").mapInArrow(trimmed(_beside(over)), _BESIDE)
     beside = kept(beside, "beside")
     first_beside = beside.select(*(F.col(c).alias(f"first_{c}") for c in _OF), F.col("first").alias("first_place"), "n", F.col("left").alias("first_left"), F.col("right").alias("first_right"))
     pairs = open_.join(beside, [*_OF, "first", "n"]).join(first_beside, [*its, "first_place", "n"])
     followed = pairs.select(*_OF, "first", "n", "left", "right", "first_left", "first_right").mapInArrow(trimmed(_followed(over)), "none boolean, doc long, mark long, first int, n int")
-    covered = told.where("sure").select(*_OF, "first", "n").unionByName(followed)
-    covered = kept(covered.groupBy(*_OF).agg(F.collect_set(F.struct("first", "n")).alias("spans")), "covered")
+    covered = kept(sure.unionByName(followed).groupBy(*_OF).agg(spans), "covered")
     bitmap = _bitmap(covered, "mark")
     for path in paths[:-1]:
         drop_path(spark, path)
-    touched = texts.mapInArrow(trimmed(_touched(bitmap)), "id long, text binary, none boolean, doc long, mark long")
+    touched = texts.mapInArrow(trimmed(_touched(bitmap)), touched_row)
     touched = touched.join(covered, list(_OF), "left").select("id", "text", "spans").mapInArrow(trimmed(_without), _OUT)
     return touched.unionByName(texts.mapInArrow(trimmed(_untouched(bitmap)), _OUT)).withColumnsRenamed({"id": id_col, "text": text_col})
 
 
 def op7_substrings(spark, sf_dir: str) -> DataFrame:
-    return clean(table(spark, sf_dir, "documents"))
+    return clean(table(spark, sf_dir, "documents"), whole=True)

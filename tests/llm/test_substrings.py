@@ -140,3 +140,79 @@ def test_odd_rows(spark):
     rows = [(1, "\n" + "a b c d. " * 20), (2, "\n" + "a b c d. " * 20), (None, None), (3, ""), (4, "x " * 200_000)]
     got = {r.doc_id: (r.text, r.n_removed) for r in substrings.clean(spark.createDataFrame(rows, schema)).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("", 21), None: (None, 0), 3: ("", 0), 4: (rows[4][1], 0)}
+
+
+def brute_whole(rows, over):
+    """Words in a row that an earlier document has go: whole sentences, or the words where a passage has none."""
+    key = lambda d, t: (d is None, d or 0, mark(d, (t or "").encode()))
+    first = {}
+    for k, t in {key(d, t): t or "" for d, t in rows}.items():
+        w = t.encode().lower().split()
+        for i in range(len(w) - over):
+            span = tuple(w[i : i + over + 1])
+            first[span] = min(k, first.get(span, k))
+    out = []
+    for d, t in rows:
+        raw, k = (t or "").encode(), key(d, t)
+        w, parts = raw.lower().split(), substrings.sentences(raw)
+        inside = [False] * len(w)
+        for i in range(len(w) - over):
+            if first[tuple(w[i : i + over + 1])] < k:
+                inside[i : i + over + 1] = [True] * (over + 1)
+        at, ranges = 0, []
+        for p in parts:
+            ranges.append(range(at, at + len(p.split())))
+            at = ranges[-1].stop
+        covered = {i for i, r in enumerate(ranges) if (b := r or [x for x in (r.start - 1, r.start) if 0 <= x < len(w)]) and all(inside[x] for x in b)}
+        gone = {x for i in covered for x in ranges[i]}
+        passages = re.finditer("1+", "".join("01"[x] for x in inside))
+        gone |= {x for m in passages if gone.isdisjoint(range(*m.span())) for x in range(*m.span())}
+        left, n = [], 0
+        for i, (p, r) in enumerate(zip(parts, ranges)):
+            n += i in covered or not gone.isdisjoint(r)
+            if i not in covered:
+                pieces = re.split(rb"(\S+\s*)", p)
+                left += [pieces[0], *(x for j, x in zip(r, pieces[1::2]) if j not in gone)]
+        out.append((d, None if t is None else b"".join(left).decode(), n))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("run, over", [(3, 11), (2, 6), (3, 25), (1, 9), (4, 1)])
+def test_whole_equals_all_windows(spark, run, over):
+    rows = made(2) + [(400 + i, "a%d " % i + "x y " * (over + i) + "\n b%d" % i) for i in range(4)]
+    docs = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, h string, n int").repartition(3)
+    got = substrings.clean(docs, run=run, over=over, whole=True).collect()
+    assert sorted(((r.doc_id, r.text, r.n_removed) for r in got), key=repr) == brute_whole(rows, over)
+
+
+def test_query_leaves_no_passage(spark, tmp_path):
+    rng = random.Random(3)
+    words = lambda n: " ".join("u%d" % rng.randrange(10**6) for _ in range(n))
+    few, none, twice = [words(n) for n in (25, 2, 24)], words(51), [words(20) + ". " for _ in range(4)]
+    own = [words(5) for _ in range(20)]
+    texts = [
+        # one whole sentence in the middle, and none at all
+        *(f"{own[i]} {'. '.join(few)} {own[i + 1]}." for i in (0, 2)),
+        *(f"{own[i]} {none} {own[i + 1]}." for i in (4, 6)),
+        # twice in a document, once in the first one
+        *(f"{own[i]}. {''.join(twice)}{own[i + 1]}. {''.join(twice) * (i > 8)}" for i in (8, 10)),
+    ]
+    # every run first in another document, the passage in two later ones
+    parts = [words(14) + ". " for _ in range(4)]
+    texts += ["".join(parts[:3]) + own[12] + ".", own[13] + ". " + "".join(parts[1:]), *(f"{own[i]}. {''.join(parts)}{own[i + 1]}." for i in (14, 16))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_removed) for r in substrings.op7_substrings(spark, str(tmp_path)).collect()}
+    want = {i: (t, 0) for i, t in enumerate(texts)}
+    want[1] = texts[1].replace(few[1] + ". ", ""), 1
+    want[3] = f"{own[6]} {own[7]}.", 1
+    want[5] = f"{own[10]}. {own[11]}. ", 8
+    want[9] = f"{own[16]}. {own[17]}.", 4
+    assert got == want
+
+
+def test_whole_odd_rows(spark):
+    schema = "doc_id long, text string"
+    assert substrings.clean(spark.createDataFrame([], schema), whole=True).count() == 0
+    rows = [(1, "\n" + "a b c d. " * 20), (2, "\n" + "a b c d. " * 20), (None, None), (3, ""), (4, "x " * 200_000), (5, "q " + "x " * 60 + "z"), (None, "x " * 51)]
+    got = {(r.doc_id, r.n_sentences): (r.text, r.n_removed) for r in substrings.clean(spark.createDataFrame(rows, schema), whole=True).collect()}
+    assert got == {(1, 21): (rows[0][1], 0), (2, 21): ("", 21), (None, 0): (None, 0), (3, 0): ("", 0), (4, 1): (rows[4][1], 0), (5, 1): ("q z", 1), (None, 1): ("", 1)}
