@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,22 +43,35 @@ def _reentered(parents: dict[str, list[str]]) -> Iterator[str]:
                 done.add(at)
 
 
-def _cycles(key: tuple, commits: pd.DataFrame) -> pd.DataFrame:
-    commits = commits.sort_values("place")
-    parents = {i: list(p) for i, p in zip(commits["id"], commits["to"])}
-    found = [(key[0], c) for c in dict.fromkeys(_reentered(parents))]
-    return pd.DataFrame(found, columns=["ak", "id"])
+def _cycles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (ak, id, to) that come by artifact, each in the order of the walk, the commits that it meets again."""
+    at, parents, found = None, {}, []
+    for batch in batches:
+        for ak, id_, to in zip(*(c.to_pylist() for c in batch.columns)):
+            if ak != at:
+                found += ((at, c) for c in dict.fromkeys(_reentered(parents)))
+                at, parents = ak, {}
+            parents[id_] = to
+        if found:
+            yield _rows(found)
+            found = []
+    yield _rows([(at, c) for c in dict.fromkeys(_reentered(parents))])
+
+
+def _rows(found: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, pa.string()) for c in (zip(*found) if found else ((), ()))], ["ak", "id"])
 
 
 def commit_cycles(commit: DataFrame) -> DataFrame:
     """commit(ak, id, place, parents)
 
     The reported commit depends on the order of a depth-first walk, which no join expresses, so the
-    commits of an artifact, ids only, go to one grouped function.
+    commits of an artifact, ids only, meet in Python: one pass over sorted rows, which costs by the
+    commit and not by the artifact, and holds one artifact at a time.
     """
     thin = commit.select("ak", "id", "place", F.transform(listed(F.col("parents")), lambda p: refs.bare_id(p, "commit")).alias("to"))
-    found = thin.groupBy("ak").applyInPandas(_cycles, "ak string, id string")
-    return diag(found, "V1-01", "commit_cycle", named("commit", "id"), "the commit is its own ancestor")
+    thin = thin.repartition("ak").sortWithinPartitions("ak", F.asc_nulls_last("place")).select("ak", "id", "to")
+    return diag(thin.mapInArrow(_cycles, "ak string, id string"), "V1-01", "commit_cycle", named("commit", "id"), "the commit is its own ancestor")
 
 
 def authors(commit: DataFrame, actor: DataFrame) -> DataFrame:

@@ -1,0 +1,24 @@
+"""What the rules cost by the row: plans and results that hold at any size."""
+
+
+from ledgerloom.operators import v1
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cycles_of_many_artifacts_take_one_pass(spark):
+    """Artifacts are not handed to Python one by one, and may reach over batches."""
+    rows = [(f"a{i}", f"c{j}", f"{j:03}", [f"commit:c{(j + 1) % 7 if i % 3 == 0 else j + 1}", "gone"]) for i in range(50) for j in range(7)]
+    rows += [(None, "x", "2", ["x"]), (None, "y", None, None), ("b", "p", "1", [None, "q"]), ("b", "q", "2", ["commit:p", "q"])]
+    commit = spark.createDataFrame(rows, "ak string, id string, place string, parents array<string>").repartition(8, "place")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = v1.commit_cycles(commit)
+        got = sorted(((r.ak, r.target) for r in found.collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(f"a{i}", "commit:c0") for i in range(0, 50, 3)] + [(None, "commit:x"), ("b", "commit:p"), ("b", "commit:q")]
+    assert got == sorted(want, key=repr)
+    assert "FlatMapGroups" not in plan(found)
