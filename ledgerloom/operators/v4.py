@@ -19,13 +19,18 @@ def capabilities(commit: DataFrame, actor: DataFrame) -> DataFrame:
 
 
 def protected_branches(capable: DataFrame, manifest: DataFrame) -> DataFrame:
-    """capabilities(), manifest(ak, authorization{protected_branches}): of entries for one branch the last counts."""
-    each = manifest.select("ak", F.posexplode("authorization.protected_branches").alias("pos", "b"))
-    policy = each.groupBy("ak", F.col("b.branch").alias("branch")).agg(F.max_by("b", "pos").alias("b"))
-    both = capable.join(policy, (capable["ak"] == policy["ak"]) & capable["branch"].eqNullSafe(policy["branch"])).drop(policy["ak"])
-    allowed = F.coalesce(F.array_contains(listed(F.col("b.allowed_committers")), F.col("author")), F.lit(False))
-    lacking = F.size(F.array_except(listed(F.col("b.required_capabilities")), F.col("caps"))) > 0
-    return diag(both.where(~allowed & lacking), "V4-01", "unauthorized_action", named("commit", "commit_id"), "the commit breaks its branch's policy")
+    """capabilities(), manifest(ak, authorization{protected_branches}): of entries for one branch the last counts.
+
+    Committers are rows that commits are joined with, and not lists that are searched for each commit.
+    """
+    entries = F.col("authorization.protected_branches")
+    names = manifest.select("ak", F.posexplode(entries["branch"]).alias("pos", "branch")).groupBy("ak", "branch").agg(F.max("pos").alias("pos"))
+    needed = manifest.select("ak", F.posexplode(entries["required_capabilities"]).alias("pos", "required"))
+    policy = names.join(needed, ["ak", "pos"])
+    allowed = manifest.select("ak", F.posexplode(entries["allowed_committers"]).alias("pos", "authors")).select("ak", "pos", F.explode("authors").alias("author"))
+    both = capable.join(policy, (capable["ak"] == policy["ak"]) & capable["branch"].eqNullSafe(policy["branch"])).drop(policy["ak"]).drop(policy["branch"])
+    lacking = both.where(F.size(F.array_except(listed(F.col("required")), F.col("caps"))) > 0)
+    return diag(lacking.join(allowed, ["ak", "pos", "author"], "left_anti"), "V4-01", "unauthorized_action", named("commit", "commit_id"), "the commit breaks its branch's policy")
 
 
 def self_review(commit: DataFrame, record: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """What the rules cost by the row: plans and results that hold at any size."""
 
 
-from ledgerloom.operators import v1
+from ledgerloom.operators import v1, v4
 
 
 def plan(df):
@@ -22,3 +22,17 @@ def test_cycles_of_many_artifacts_take_one_pass(spark):
     want = [(f"a{i}", "commit:c0") for i in range(0, 50, 3)] + [(None, "commit:x"), ("b", "commit:p"), ("b", "commit:q")]
     assert got == sorted(want, key=repr)
     assert "FlatMapGroups" not in plan(found)
+
+
+def test_committers_are_joined_not_searched(spark):
+    """The last entry of a branch counts, null ones too, and no commit goes through the list of committers."""
+    entry = "struct<branch string, required_capabilities array<string>, allowed_committers array<string>>"
+    manifest = spark.createDataFrame([
+        ("a", ([("main", ["fly"], ["ann", "bob"]), ("main", ["commit"], ["bob", None]), (None, ["commit"], None), ("free", None, []), None],)),
+        ("b", ([("main", ["commit", "fly"], ["ann"])],)), ("c", (None,)), ("d", None),
+    ], f"ak string, authorization struct<protected_branches array<{entry}>>")
+    commits = [(ak, f"{ak}{b}{w}", b, w, ["read"] + (["commit"] if w == "eve" else [])) for ak in "abcd" for b in ("main", "free", None) for w in ("ann", "bob", "eve", None)]
+    capable = spark.createDataFrame(commits, "ak string, commit_id string, branch string, author string, caps array<string>")
+    found = v4.protected_branches(capable, manifest)
+    assert sorted(r.target for r in found.collect()) == sorted("commit:" + c for c in ("amainann", "amainNone", "bmainbob", "bmaineve", "bmainNone"))
+    assert "array_contains" not in plan(found)
