@@ -36,13 +36,25 @@ def dependency_order(cell: DataFrame, order: DataFrame) -> DataFrame:
 
 def partial_success(run: DataFrame, record: DataFrame) -> DataFrame:
     """run(ak, run_id, status, cells_executed, output_bindings), record(ak, record_type, run_id)"""
-    partial = run.where("status = 'partial_success'").withColumn("ref", named("run", "run_id"))
+    return unpaired(run, record).unionByName(overbound(run))
+
+
+def _partial(run: DataFrame) -> DataFrame:
+    return run.where("status = 'partial_success'").withColumn("ref", named("run", "run_id"))
+
+
+def unpaired(run: DataFrame, record: DataFrame) -> DataFrame:
+    """run(ak, run_id, status), record(ak, record_type, run_id)"""
     failed = record.where("record_type = 'sol:record/failure'").select("ak", F.col("run_id").alias("ref"))
-    unpaired = diag(partial.join(failed, ["ak", "ref"], "left_anti"), "V2-03", "invalid_partial_success", F.col("ref"), "a partial success has no failure record", "a")
+    return diag(_partial(run).join(failed, ["ak", "ref"], "left_anti"), "V2-03", "invalid_partial_success", F.col("ref"), "a partial success has no failure record", "a")
+
+
+def overbound(run: DataFrame) -> DataFrame:
+    """run(ak, run_id, status, cells_executed, output_bindings); the bindings of one run may come in several rows."""
     cells = F.transform(listed(F.col("cells_executed")), lambda c: refs.bare_id(c, "cell"))
-    bound = partial.select("ak", "ref", cells.alias("cells"), F.explode("output_bindings").alias("b")).withColumn("p", refs.parse_ref(F.col("b.named_output")))
+    bound = _partial(run).select("ak", "ref", cells.alias("cells"), F.explode("output_bindings").alias("b")).withColumn("p", refs.parse_ref(F.col("b.named_output")))
     greedy = bound.where("p.kind = 'named_output'").where(~F.array_contains("cells", F.col("p.ident")))
-    return unpaired.unionByName(diag(greedy, "V2-03", "invalid_partial_success", F.col("ref"), "a partial success binds an output of a cell that it did not execute", "b"))
+    return diag(greedy, "V2-03", "invalid_partial_success", F.col("ref"), "a partial success binds an output of a cell that it did not execute", "b")
 
 
 def uncommitted(run: DataFrame) -> DataFrame:

@@ -1,7 +1,15 @@
 """What the rules cost by the row: plans and results that hold at any size."""
 
 
-from ledgerloom.operators import v1, v4
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import v1, v2, v4
+from ledgerloom.plans import testbed
+
+DIR = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -36,3 +44,17 @@ def test_committers_are_joined_not_searched(spark):
     found = v4.protected_branches(capable, manifest)
     assert sorted(r.target for r in found.collect()) == sorted("commit:" + c for c in ("amainann", "amainNone", "bmainbob", "bmaineve", "bmainNone"))
     assert "array_contains" not in plan(found)
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables here")
+@pytest.mark.parametrize("name", ["partial_failure", "undeclared_read"])
+def test_lines_are_not_collected(spark, name):
+    assert "collect_list" not in plan(testbed.QUERIES[name](spark, DIR))
+
+
+def test_bindings_of_a_run_in_several_rows(spark):
+    runs = [("a", "r", "partial_success", ["cell:x"], ["cell:x#o", None]), ("a", "r", "partial_success", ["cell:x"], ["cell:y#o"]), ("a", "s", "success", [], ["cell:y#o"]), ("a", "t", "partial_success", None, ["cell:y#o"]), ("a", None, "partial_success", ["cell:x"], None)]
+    run = spark.createDataFrame(runs, "ak string, run_id string, status string, cells_executed array<string>, names array<string>").withColumn("output_bindings", F.expr("transform(names, n -> named_struct('named_output', n))"))
+    record = spark.createDataFrame([("a", "sol:record/failure", "run:r"), ("b", "sol:record/failure", "run:t")], "ak string, record_type string, run_id string")
+    assert sorted(r.target for r in v2.overbound(run).collect()) == ["run:r", "run:t"]
+    assert {r.target for r in v2.unpaired(run, record).collect()} == {"run:t", "run:<unknown>"}
