@@ -29,19 +29,33 @@ PATTERNS = {
 
 
 def is_ref(c: Column) -> Column:
-    found = c.startswith(PREFIXES[0])
-    for p in PREFIXES[1:]:
-        found = found | c.startswith(p)
-    return found
+    """One pattern, so that ``c`` is computed once."""
+    return c.rlike(r"\A(" + "|".join(PREFIXES) + ")")
+
+
+def _whole(pattern: str) -> str:
+    return rf"^{pattern}\n?\z"
+
+
+def _fits(c: Column, pattern: str) -> Column:
+    """Only texts with the prefix of a kind are matched."""
+    return c.startswith(pattern[: pattern.index("(")]) & c.rlike(_whole(pattern))
+
+
+def kind_of(c: Column) -> Column:
+    """The kind alone, null if nothing matches: a filter by kind, which goes down to every row, takes no text apart."""
+    out = F.lit(None).cast("string")
+    for kind, pattern in reversed(PATTERNS.items()):
+        out = F.when(_fits(c, pattern), F.lit(kind)).otherwise(out)
+    return out
 
 
 def parse_ref(c: Column) -> Column:
     """The kinds exclude one another, since ids have no # and prefixes differ."""
     out = F.lit(None).cast("struct<kind:string,ident:string,sub:string>")
     for kind, pattern in reversed(PATTERNS.items()):
-        whole = rf"^{pattern}\n?\z"
-        part = lambda k, whole=whole: F.regexp_extract(c, whole, k)
-        out = F.when(c.rlike(whole), F.struct(F.lit(kind).alias("kind"), part(1).alias("ident"), F.nullif(part(2), F.lit("")).alias("sub"))).otherwise(out)
+        part = lambda k, whole=_whole(pattern): F.regexp_extract(c, whole, k)
+        out = F.when(_fits(c, pattern), F.struct(F.lit(kind).alias("kind"), part(1).alias("ident"), F.nullif(part(2), F.lit("")).alias("sub"))).otherwise(out)
     return out
 
 

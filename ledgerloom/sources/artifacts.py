@@ -103,7 +103,7 @@ def strings(nodes: DataFrame) -> DataFrame:
 def references(values: DataFrame) -> DataFrame:
     """Of (ak, s) the distinct references (ak, ref, kind, ident, sub); kind is null for malformed ones."""
     distinct = values.where(refs.is_ref(F.col("s"))).select("ak", F.col("s").alias("ref")).distinct()
-    return distinct.withColumn("p", refs.parse_ref(F.col("ref"))).select("ak", "ref", "p.kind", "p.ident", "p.sub")
+    return distinct.withColumn("p", refs.parse_ref(F.col("ref"))).select("ak", "ref", refs.kind_of(F.col("ref")).alias("kind"), "p.ident", "p.sub")
 
 
 def _typed(docs: DataFrame, kind: str, *also: str | Column) -> DataFrame:

@@ -1,13 +1,14 @@
 """What the rules cost by the row: plans and results that hold at any size."""
 
-
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import refs
 from ledgerloom.operators import v1, v2, v4
 from ledgerloom.plans import testbed
+from ledgerloom.sources.artifacts import references
 
 DIR = "/root/testdata/sf0.001"
 
@@ -47,7 +48,7 @@ def test_committers_are_joined_not_searched(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables here")
-@pytest.mark.parametrize("name", ["partial_failure", "undeclared_read"])
+@pytest.mark.parametrize("name", ["partial_failure", "undeclared_read", "named_output"])
 def test_lines_are_not_collected(spark, name):
     assert "collect_list" not in plan(testbed.QUERIES[name](spark, DIR))
 
@@ -58,3 +59,14 @@ def test_bindings_of_a_run_in_several_rows(spark):
     record = spark.createDataFrame([("a", "sol:record/failure", "run:r"), ("b", "sol:record/failure", "run:t")], "ak string, record_type string, run_id string")
     assert sorted(r.target for r in v2.overbound(run).collect()) == ["run:r", "run:t"]
     assert {r.target for r in v2.unpaired(run, record).collect()} == {"run:t", "run:<unknown>"}
+
+
+def test_filters_by_kind_take_no_reference_apart(spark):
+    texts = ["cell:a#b", "cell:a#b\n", "cell:a#b\n\n", "cell:a", "cell:a#", "cell:", "cell", "xcell:a", "\ncell:a", "record:x", "run:1 ", "commit:c", "branch:b", "render:r", "sol://a/b/c", "sol://a/b", "object:sha256:" + "a" * 64, "object:sha256:" + "A" * 64, "digest:sha256:" + "0" * 64, "digest:x", "", None]
+    df = spark.createDataFrame([("a", x) for x in texts], "ak string, s string")
+    both = df.select("s", refs.is_ref(F.col("s")).alias("is"), refs.kind_of(F.col("s")).alias("kind"), refs.parse_ref(F.col("s"))["kind"].alias("want")).collect()
+    assert [r.kind for r in both] == [r.want for r in both]
+    assert [r["is"] for r in both] == [None if r.s is None else r.s.startswith(refs.PREFIXES) for r in both]
+    found = references(df).where("kind = 'named_output'")
+    assert {(r.ref, r.ident, r.sub) for r in found.collect()} == {("cell:a#b", "a", "b"), ("cell:a#b\n", "a", "b")}
+    assert not any("regexp_extract" in line for line in plan(references(df).where("kind = 'named_output'")).splitlines() if "Filter" in line)
