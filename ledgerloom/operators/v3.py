@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import refs, vocab
@@ -46,26 +46,47 @@ def concordance(record: DataFrame, manifest: DataFrame) -> DataFrame:
     return none.unionByName(diag(loose, "V3-04", "broken_provenance", target, "the concordance does not suit a deterministic artifact", "b"))
 
 
+def _rule_05(rows: DataFrame, part: str | Column, message: str | Column) -> DataFrame:
+    return diag(rows, "V3-05", "invalid_proposal_application", named("commit", "commit_id"), message, part)
+
+
 def applications(commit: DataFrame, record: DataFrame) -> DataFrame:
     """commit(ak, id, commit_id, changes, applied_proposals), record(ak, id, filled, changes)"""
-    rule = lambda rows, part, message: diag(rows, "V3-05", "invalid_proposal_application", named("commit", "commit_id"), message, part)
-    ops = commit.select("ak", "id", "commit_id", "changes", "applied_proposals", F.explode("changes").alias("c")).where("c.op = 'apply_proposal'").withColumn("ref", F.col("c.proposal"))
-    ops = ops.withColumn("key", refs.bare_id(F.nullif("ref", F.lit("")), "record"))
-    known = lookup(record, proposed="changes").withColumn("found", F.lit(True))
-    both = ops.join(known, ["ak", "key"], "left")
-    unknown = rule(both.where("found IS NULL"), "a", "an applied proposal does not exist")
-    there = both.where("found").withColumn("app", F.get(F.filter("applied_proposals", lambda a: a["proposal"].eqNullSafe(F.col("ref"))), F.lit(0)))
+    return unaccepted(commit, record).unionByName(lacking(commit, record, commit))
+
+
+def _applied(commit: DataFrame) -> DataFrame:
+    ops = commit.select("ak", "id", "commit_id", "applied_proposals", F.explode("changes").alias("c")).where("c.op = 'apply_proposal'").withColumn("ref", F.col("c.proposal")).drop("c")
+    return ops.withColumn("key", refs.bare_id(F.nullif("ref", F.lit("")), "record"))
+
+
+def unaccepted(commit: DataFrame, record: DataFrame) -> DataFrame:
+    """commit(ak, id, commit_id, changes, applied_proposals), record(ak, id, filled)
+
+    Many commits may name one review, so what reviews are missing is found over the distinct names.
+    """
+    both = _applied(commit).join(lookup(record).withColumn("found", F.lit(True)), ["ak", "key"], "left")
+    both = both.withColumn("app", F.get(F.filter("applied_proposals", lambda a: a["proposal"].eqNullSafe(F.col("ref"))), F.lit(0)))
     no_review = F.coalesce(F.size("app.accepted_by"), F.lit(0)) <= 0
-    unlinked = rule(there.where(no_review), "b", "an application is linked to no accepting review")
-    reviews = there.where(~no_review).select("ak", "commit_id", F.explode("app.accepted_by").alias("r")).withColumn("key", refs.bare_id(F.col("r"), "record"))
-    gone = rule(reviews.join(lookup(record), ["ak", "key"], "left_anti"), "c", "an accepting review does not exist")
+    bare = both.withColumn("part", F.when(F.col("found").isNull(), F.lit("a")).when(no_review, F.lit("b"))).where("part IS NOT NULL")
+    message = F.when(F.col("part") == "a", F.lit("an applied proposal does not exist")).otherwise(F.lit("an application is linked to no accepting review"))
+    each = F.explode("a.accepted_by").alias("r")
+    asked = commit.select("ak", F.explode("applied_proposals").alias("a")).select("ak", each).distinct().withColumn("key", refs.bare_id(F.col("r"), "record"))
+    absent = asked.join(lookup(record), ["ak", "key"], "left_anti").select(F.col("ak").alias("ak2"), F.col("r").alias("r2"))
+    reviews = both.where("found").where(~no_review).select("ak", "commit_id", F.explode("app.accepted_by").alias("r"))
+    gone = reviews.join(absent, (F.col("ak") == F.col("ak2")) & F.col("r").eqNullSafe(F.col("r2")), "left_semi")
+    return _rule_05(bare, F.col("part"), message).unionByName(_rule_05(gone, "c", "an accepting review does not exist"))
+
+
+def lacking(commit: DataFrame, record: DataFrame, changed: DataFrame) -> DataFrame:
+    """commit(ak, id, commit_id, changes, applied_proposals), record(ak, id, filled, changes), changed(ak, id, changes) of the commits; the changes of one record or commit may come in several rows."""
+    there = _applied(commit).join(lookup(record, proposed="changes"), ["ak", "key"])
     wanted = there.select("ak", "id", "commit_id", F.explode("proposed").alias("p")).select("ak", "id", "commit_id", *(F.col(f"p.{k}").alias(k) for k in CHANGE_KEYS))
-    made = commit.select("ak", "id", F.explode("changes").alias("c")).where(~equals(F.col("c.op"), "apply_proposal")).select(F.col("ak").alias("ak2"), F.col("id").alias("id2"), *(F.col(f"c.{k}").alias(f"made_{k}") for k in CHANGE_KEYS))
+    made = changed.select("ak", "id", F.explode("changes").alias("c")).where(~equals(F.col("c.op"), "apply_proposal")).select(F.col("ak").alias("ak2"), F.col("id").alias("id2"), *(F.col(f"c.{k}").alias(f"made_{k}") for k in CHANGE_KEYS))
     same = (F.col("ak") == F.col("ak2")) & (F.col("id") == F.col("id2"))
     for k in CHANGE_KEYS:
         same = same & F.col(k).eqNullSafe(F.col(f"made_{k}"))
-    lacking = rule(wanted.join(made, same, "left_anti"), "d", "the commit lacks a change of the proposal")
-    return unknown.unionByName(unlinked).unionByName(gone).unionByName(lacking)
+    return _rule_05(wanted.join(made, same, "left_anti"), "d", "the commit lacks a change of the proposal")
 
 
 def decisions(record: DataFrame) -> DataFrame:

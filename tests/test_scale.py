@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import refs
-from ledgerloom.operators import v1, v2, v4
+from ledgerloom.operators import v1, v2, v3, v4
 from ledgerloom.plans import testbed
 from ledgerloom.sources.artifacts import references
 
@@ -48,7 +48,7 @@ def test_committers_are_joined_not_searched(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables here")
-@pytest.mark.parametrize("name", ["partial_failure", "undeclared_read", "named_output"])
+@pytest.mark.parametrize("name", ["partial_failure", "undeclared_read", "named_output", "proposal_match"])
 def test_lines_are_not_collected(spark, name):
     assert "collect_list" not in plan(testbed.QUERIES[name](spark, DIR))
 
@@ -70,3 +70,22 @@ def test_filters_by_kind_take_no_reference_apart(spark):
     found = references(df).where("kind = 'named_output'")
     assert {(r.ref, r.ident, r.sub) for r in found.collect()} == {("cell:a#b", "a", "b"), ("cell:a#b\n", "a", "b")}
     assert not any("regexp_extract" in line for line in plan(references(df).where("kind = 'named_output'")).splitlines() if "Filter" in line)
+
+
+def test_changes_in_several_rows_and_one_review_of_many(spark):
+    change = "struct<op string, target string, path string, value_ref string, cell_id string, proposal string>"
+    edit = lambda target, path=None: ("modify_cell", target, path, None, None, None)
+    apply_ = lambda p: ("apply_proposal", None, None, None, None, p)
+    app = lambda p, *by: (p, list(by))
+    commits = [
+        ("a", "1", "1", [apply_("record:p"), None], [app("record:p", "record:v")]), ("a", "2", "2", [apply_("p"), edit("x")], [app("p", "record:gone", "v")]), ("a", "3", "3", [apply_(None), apply_("record:no")], None),
+        ("a", "4", "4", [apply_("record:q"), apply_("record:p")], [app("record:q", None)]), ("b", "1", "1", [apply_("record:p")], [app("record:p", "record:v")]), ("a", "5", "5", None, None),
+    ]
+    commit = spark.createDataFrame(commits, f"ak string, id string, commit_id string, changes array<{change}>, applied_proposals array<struct<proposal string, accepted_by array<string>>>")
+    records = [("a", "p", True, [edit("x")]), ("a", "p", True, [edit("y", "z")]), ("a", "q", True, [None]), ("a", "v", True, None), ("b", "v", True, None), ("b", "p", False, [edit("x")])]
+    record = spark.createDataFrame(records, f"ak string, id string, filled boolean, changes array<{change}>")
+    changed = spark.createDataFrame([("a", "1", [edit("x")]), ("a", "1", [edit("y", "z"), None]), ("a", "2", [edit("y")]), ("a", "4", [edit("x"), edit("y", "z")])], f"ak string, id string, changes array<{change}>")
+    once = spark.createDataFrame([r[:3] for r in records if r[3] != [edit("y", "z")]], "ak string, id string, filled boolean")
+    found = v3.unaccepted(commit, once)
+    assert {(r.ak, r.part, r.target[7:]) for r in found.collect()} == {("a", "c", "2"), ("a", "a", "3"), ("a", "b", "4"), ("a", "c", "4"), ("b", "a", "1")}
+    assert {(r.ak, r.part, r.target[7:]) for r in v3.lacking(commit, record, changed).collect()} == {("a", "d", "2"), ("a", "d", "4")}
